@@ -9,6 +9,8 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _K = np.uint64(0xD6E8FEB86659FD93)
 _WS = np.zeros(256, bool)
 _WS[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes that part words of letters and digits: all of ASCII but those.
+NOT_ALNUM = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: dict = {}
@@ -37,19 +39,30 @@ def _power_table(n: int):
     return _powers["p"], _powers["q"]
 
 
-def _hash_segment(arr: np.ndarray, ws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start position and hash of each word of a piece that begins and ends between words."""
+def _hash_segment(arr: np.ndarray, ws: np.ndarray, prefixes: tuple = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Start position and hash of each word of a piece that begins and ends between words; then, for each k of prefixes,
+    of the first k bytes of each longer word."""
     edge = np.flatnonzero(np.diff(np.concatenate(([True], ws, [True]))))
     s, e = edge[0::2], edge[1::2]
     p, q = _power_table(len(arr) + 1)
     total = np.empty(len(arr) + 1, np.uint64)
     total[0] = 0
     np.cumsum((arr.astype(np.uint64) + np.uint64(1)) * p[: len(arr)], out=total[1:])
-    return s, mix((total[e] - total[s]) * q[s] + (e - s).astype(np.uint64) * _K)
+    starts, hashes = [s], [mix((total[e] - total[s]) * q[s] + (e - s).astype(np.uint64) * _K)]
+    for k in prefixes:
+        t = s[e - s > k]
+        starts.append(t)
+        hashes.append(mix((total[t + k] - total[t]) * q[t] + np.array([k], np.uint64) * _M1))
+    if not prefixes:
+        return s, hashes[0]
+    s = np.concatenate(starts)
+    order = np.argsort(s, kind="stable")
+    return s[order], np.concatenate(hashes)[order]
 
 
-def word_hashes(texts, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Words `[^\\x20\\x09-\\x0D]+` of each text as 64-bit hashes: (hashes, bounds), text i has hashes[bounds[i]:bounds[i+1]]."""
+def word_hashes(texts, lower: bool = True, breaks: np.ndarray = _WS, prefixes: tuple = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Words `[^\\x20\\x09-\\x0D]+` of each text as 64-bit hashes: (hashes, bounds), text i has hashes[bounds[i]:bounds[i+1]].
+    breaks: which bytes part words (the space always does). prefixes: adds a hash of that many leading bytes of longer words."""
     parts = [(t.encode("utf-8", "surrogatepass") if t else b"") for t in texts]
     sizes = np.fromiter((len(b) + 1 for b in parts), np.int64, len(parts))
     first = np.concatenate(([0], np.cumsum(sizes)))
@@ -58,14 +71,14 @@ def word_hashes(texts, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     while at < len(raw):
         end = min(len(raw), at + SEGMENT)
         if end < len(raw):
-            gaps = np.flatnonzero(_WS[raw[at:end]])
+            gaps = np.flatnonzero(breaks[raw[at:end]])
             while not len(gaps) and end < len(raw):  # one word longer than a segment
                 end = min(len(raw), end + SEGMENT)
-                gaps = np.flatnonzero(_WS[raw[at:end]])
+                gaps = np.flatnonzero(breaks[raw[at:end]])
             end = at + int(gaps[-1]) + 1
         piece = raw[at:end]
-        ws = _WS[piece]
-        s, h = _hash_segment(_LOWER[piece] if lower else piece, ws)
+        ws = breaks[piece]
+        s, h = _hash_segment(_LOWER[piece] if lower else piece, ws, prefixes)
         starts.append(s + at)
         hashes.append(h)
         at = end

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stepforge.llm import line_dedup, minhash_dedup, mixing, packing, quality_rules
+from stepforge.llm import language_id, line_dedup, minhash_dedup, mixing, packing, quality_rules, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,18 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    done = toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+    return done.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    done = language_id.predict(docs, language_id.train(docs), ["doc_id"])
+    return done.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), F.col("__pred").alias("lang_pred"), F.col("__score").alias("score"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
@@ -42,6 +54,8 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_mix_sources": op2_mix_sources,
+    "op3_toxicity": op3_toxicity,
+    "op5_language_id": op5_language_id,
     "op6_quality_rules": op6_quality_rules,
     "op8_line_dedup": op8_line_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
