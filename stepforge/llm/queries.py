@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stepforge.llm import language_id, line_dedup, minhash_dedup, mixing, packing, quality_rules, toxicity
+from stepforge.llm import cover_tree, language_id, line_dedup, minhash_dedup, mixing, packing, quality_rules, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
 
+def op7_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_vectors(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.9)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), min_chars=10, min_docs=2)
     return done.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
@@ -57,6 +61,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op5_language_id": op5_language_id,
     "op6_quality_rules": op6_quality_rules,
+    "op7_cover_tree": op7_cover_tree,
     "op8_line_dedup": op8_line_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
