@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stepforge.llm import cover_tree, language_id, line_dedup, minhash_dedup, mixing, packing, quality_rules, toxicity
+from stepforge.llm import cover_tree, language_id, line_dedup, minhash_dedup, mixing, packing, quality_rules, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, _ = warc.archive(_table(spark, sf_dir, "pages"), min_bytes=100)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), n=2, percent=80)
 
@@ -63,6 +68,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_cover_tree": op7_cover_tree,
     "op8_line_dedup": op8_line_dedup,
+    "op9_warc": op9_warc,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
@@ -142,4 +148,15 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
 FROM m GROUP BY doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_mix_sources": OP2_SQL, "op6_quality_rules": OP6_SQL, "op8_line_dedup": OP8_SQL}
+OP9_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+  SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first < page_id THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >= 100
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_mix_sources": OP2_SQL, "op6_quality_rules": OP6_SQL, "op8_line_dedup": OP8_SQL, "op9_warc": OP9_SQL}
