@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stepforge.llm import cover_tree, language_id, line_dedup, minhash_dedup, mixing, packing, quality_rules, toxicity, warc
+from stepforge.llm import cover_tree, html_extract, language_id, line_dedup, minhash_dedup, mixing, packing, quality_rules, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     done = language_id.predict(docs, language_id.train(docs), ["doc_id"])
@@ -64,6 +68,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_mix_sources": op2_mix_sources,
     "op3_toxicity": op3_toxicity,
+    "op4_html_extract": op4_html_extract,
     "op5_language_id": op5_language_id,
     "op6_quality_rules": op6_quality_rules,
     "op7_cover_tree": op7_cover_tree,
