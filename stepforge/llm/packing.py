@@ -18,8 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from stepforge.llm import tokenization
 from stepforge.llm.storage import materialize
-from stepforge.llm.tokenization import ChunkTokenizer
 
 MAX_LEN = 2048
 END_ID = 1
@@ -103,7 +103,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, end_id
     pieces of its length that its task made)."""
 
     def cut(frames):
-        tok = ChunkTokenizer(tokenizer)
+        tok = tokenization.tokenizer(tokenizer)
         part = TaskContext.get().partitionId()
         seen = np.zeros(max_len + 1, np.int64)
         end = int(end_id).to_bytes(4, "little")

@@ -22,11 +22,21 @@ class ChunkTokenizer:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}
+        # the same model for words that are already normalised and parted by spaces
+        self.words = Tokenizer.from_file(path)
+        self.words.encode_special_tokens = True
+        self.words.normalizer = None
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        #: Ids that end a word, for tokenizers that mark word ends.
+        suffix = getattr(self.tok.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.tok.get_vocab_size() + 1, bool)
+        if suffix:
+            self.ends[[i for w, i in self.tok.get_vocab(with_added_tokens=False).items() if w.endswith(suffix)]] = True
 
     def encode(self, text: str) -> bytes:
         if not text.isascii():
@@ -38,15 +48,34 @@ class ChunkTokenizer:
             return self._whole(text)
         words = _WORD.findall(text.lower())
         cache = self.cache
-        missing = list({w for w in words if w not in cache})
+        missing = list(set(words).difference(cache))
         if missing:
             if len(cache) + len(missing) > CACHE:  # drop the older half; the frequent ones come back
                 for w in list(islice(cache, len(cache) // 2)):
                     del cache[w]
-                missing = list({w for w in words if w not in cache})
-            for w, e in zip(missing, self.tok.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
+                missing = list(set(words).difference(cache))
+            cache.update(zip(missing, self._words(missing), strict=True))
         return b"".join(map(cache.__getitem__, words))
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Each word's ids: all are encoded as one text and parted at the ids that end words."""
+        ids = np.array(self.words.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words) or cuts[-1] != len(ids):
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+        data = ids.tobytes()
+        ends = (cuts * 4).tolist()
+        return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+_loaded: dict[str, ChunkTokenizer] = {}
+
+
+def tokenizer(path: str) -> ChunkTokenizer:
+    """One tokenizer and cache for each path and worker process: later tasks of the worker find their words."""
+    if path not in _loaded:
+        _loaded[path] = ChunkTokenizer(path)
+    return _loaded[path]
