@@ -159,9 +159,9 @@ def put(x: Tensor, key, value) -> Tensor:
     shape = tuple(ks[n].length for n in kept)
     if isinstance(value, Tensor):
         v = value.broadcast_to(shape)  # ValueError if the places would have to grow
-        on = [F.col(f"p{n}") == F.col(f"v.i{m}") for m, n in enumerate(kept)]
-        hit = df.join(v.df.alias("v"), on) if on else df.join(v.df.alias("v"))
-        hit = hit.select(*keys, *[f"p{n}" for n in range(x.ndim)], F.col("v.x").alias("__v"))
+        new = v.df.select(*[F.col(f"i{m}").alias(f"q{m}") for m in range(len(kept))], F.col("x").alias("__v"))
+        on = [F.col(f"p{n}") == F.col(f"q{m}") for m, n in enumerate(kept)]
+        hit = df.join(new, on) if on else df.join(new)
     else:
         hit = df.withColumn("__v", _literal(x, value))
     order = F.struct(*[f"p{n}" for n in range(x.ndim)])
