@@ -1,0 +1,408 @@
+"""Small exact tests of the corpus operators, mostly against brute force, and their defined edge cases."""
+
+import gzip
+import io
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from pyspark.sql import functions as F
+
+from stepforge.llm import components, cover_tree, hashing, html_extract, language_id, line_dedup, minhash_dedup, mixing, packing, quality_rules, tokenization, toxicity, warc
+from stepforge.llm.queries import ORACLE_SQL, tokenizer_path
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+LOW = {i: i + 32 for i in range(65, 91)}
+
+
+def docs_of(spark, texts, **more):
+    rows = [(i, t, more.get("lang", ["en"] * len(texts))[i], more.get("source", ["s"] * len(texts))[i], len(t or "")) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def near_texts(n=60, seed=3):
+    rng = random.Random(seed)
+    vocab = [f"w{k}" for k in range(300)]
+    out = []
+    for _ in range(n // 6):
+        base = [rng.choice(vocab) for _ in range(rng.randint(3, 120))]
+        for _ in range(6):
+            edit = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 8))):
+                edit[rng.randrange(len(edit))] = rng.choice(vocab)
+            out.append(" ".join(edit))
+    return out + [None, "", " \t", "one", "ONE", "two words", "two words"]
+
+
+def brute_components(texts, n, percent):
+    sets = []
+    for t in texts:
+        w = WORD.findall((t or "").translate(LOW))
+        sets.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} or ({tuple(w)} if w else set()))
+    label = list(range(len(texts)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                x, y = root(i), root(j)
+                label[max(x, y)] = min(x, y)
+    return [(i, len(s), root(i), root(i) == i) for i, s in enumerate(sets)]
+
+
+# ---- hashing and components --------------------------------------------------------------------------------------------
+
+def test_word_hashes_part_words_and_ignore_case():
+    h, b = hashing.word_hashes(["Ab  cd\nab", "", None, "cd"])
+    assert list(b) == [0, 3, 3, 3, 4] and h[0] == h[2] != h[1] == h[3]
+
+
+def test_word_hashes_of_long_words_and_texts():
+    long_ = "x" * (hashing.SEGMENT + 5)
+    h, b = hashing.word_hashes([long_ + " y " * 3, "y " * 700_000])
+    assert b[1] == 4 and b[2] == 4 + 700_000 and len(set(h[1:].tolist())) == 1
+
+
+def test_components_of_a_chain_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(5, 5), (None, 7)]
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 130)}}
+    assert components.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+# ---- near-duplicates (10) ----------------------------------------------------------------------------------------------
+
+@pytest.mark.parametrize(("n", "percent"), [(2, 80), (5, 80)])
+def test_near_duplicates_equal_brute_force(spark, n, percent):
+    texts = near_texts()
+    got = minhash_dedup.near_duplicates(docs_of(spark, texts), n, percent).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == brute_components(texts, n, percent)
+
+
+def test_near_duplicates_in_one_large_group(spark):
+    rng = random.Random(1)
+    base = [f"b{k}" for k in range(60)]
+    texts = []
+    for _ in range(250):
+        t = list(base)
+        for _ in range(rng.randint(1, 9)):
+            t[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(t))
+    got = minhash_dedup.near_duplicates(docs_of(spark, texts), 2, 80).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == brute_components(texts, 2, 80)
+
+
+def test_near_duplicates_edge_cases(spark):
+    rows = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (0, "a b c")], "doc_id long, text string").withColumn("bucket", F.lit(1))
+    got = sorted(map(tuple, minhash_dedup.near_duplicates(rows, 2).collect()), key=str)
+    assert got == [(0, 2, 0, True), (1, 2, 0, False), (1, 2, 0, False), (None, 2, None, True)]
+    assert minhash_dedup.near_duplicates(rows.limit(0), 2).count() == 0
+
+
+# ---- lines (8) and rules (6) -------------------------------------------------------------------------------------------
+
+LINES = ["Same line of text\nown one is here\n\nSame line of text", "  same LINE of text\t\nshort\nshort", None, "", "short\nother words here\n", "other words here", "ünïcode línes here\nxx"]
+
+
+def duck(sql, **tables):
+    import duckdb
+
+    con = duckdb.connect()
+    for k, v in tables.items():
+        con.register(k, v.toPandas())
+    return sorted((tuple(r) for r in con.sql(sql).fetchall()), key=str)
+
+
+@pytest.mark.parametrize("texts", [LINES, LINES * 7, near_texts()])
+def test_line_dedup_equals_sql(spark, texts):
+    docs = docs_of(spark, texts)
+    got = line_dedup.dedup_lines(docs).select("doc_id", "__n_lines", "__n_dropped", F.sha2("text", 256))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == duck(ORACLE_SQL["op8_line_dedup"], documents=docs)
+
+
+def test_line_dedup_keeps_columns_and_odd_rows(spark):
+    docs = docs_of(spark, ["line number one\nline number two", "line number one"]).union(spark.createDataFrame([(None, "line number one", "en", None, 1), (0, "line number one\nline number two", "en", "s", 3)], DOCS)).withColumn("pos", F.lit("p"))
+    got = {(r["doc_id"], r["text"], r["pos"]) for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {(0, "line number one\nline number two", "p"), (1, "", "p"), (None, "line number one", "p")}
+    assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
+    hosts = docs_of(spark, ["a common line"] * 4, source=["x", "x", "y", "y"])
+    assert line_dedup.dedup_lines(hosts, host="source").where("text <> ''").count() == 2
+    assert line_dedup.dedup_lines(hosts, min_docs=5).where("text <> ''").count() == 4
+
+
+def test_quality_rules_equal_sql(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma$", "#x", "y"]) for _ in range(rng.randint(0, 140))).replace("beta", "beta\n" if k % 3 else "beta") for k in range(40)]
+    texts += [None, "", "\n\n", "a a a a a", "the common boilerplate line\n" + "own " * 60] + ["the common boilerplate line\nunique words number %d here" % k for k in range(14)] * 2
+    docs = docs_of(spark, texts, source=[None if k % 11 == 0 else f"s{k % 2}" for k in range(len(texts))])
+    cols = "doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, removed_words"
+    got = sorted((tuple(r) for r in quality_rules.judge(docs).select(*cols.split(", ")).collect()), key=str)
+    assert got == duck(f"SELECT {cols} FROM ({ORACLE_SQL['op6_quality_rules']})", documents=docs)
+
+
+def test_quality_rules_with_repeated_rows_and_null_ids(spark):
+    line = "a line that every document of the host has\n"
+    rows = [(1, line + "own words " * 40, "h")] * 2 + [(None, line * 3, "h")] + [(k, line + "more " * k, "h") for k in range(10, 24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = quality_rules.judge(docs)
+    assert got.count() == len(rows)
+    assert {r["removed_words"] for r in got.where("doc_id = 1").collect()} == {9}
+
+
+# ---- mixing (2) --------------------------------------------------------------------------------------------------------
+
+def test_mixing_equals_sql_and_meets_targets(spark):
+    rng = random.Random(2)
+    texts = [" ".join("w" * rng.randint(1, 4) for _ in range(rng.randint(0, 50))) for _ in range(300)] + [None]
+    docs = docs_of(spark, texts, source=[rng.choice(["a", "b", "c", "d", None]) for _ in texts])
+    mixed = mixing.mix(docs)
+    got = sorted((tuple(r) for r in mixed.select("doc_id", "__size", "__source_size", "__target", "__taken").collect()), key=str)
+    assert got == duck(ORACLE_SQL["op2_mix_sources"], documents=docs)
+    for r in mixed.groupBy("source", "__target").agg(F.sum("__taken").alias("n")).collect():
+        assert 0 <= r["__target"] - r["n"] < 1
+    rows = mixing.realize(mixed, docs.columns)
+    words = rows.select("doc_id", mixing.n_words(F.col("text")).alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n"))
+    taken = {r["doc_id"]: r["__taken"] for r in mixed.collect() if r["__taken"]}
+    assert {r["doc_id"]: r["n"] for r in words.collect()} == taken
+
+
+def test_mixing_edge_cases(spark):
+    assert mixing.mix(docs_of(spark, [])).count() == 0
+    assert mixing.mix(docs_of(spark, [None, ""])).agg(F.sum("__taken")).first()[0] == 0
+    twice = docs_of(spark, ["a b c d"]).union(docs_of(spark, ["a b c d"]))
+    assert mixing.mix(twice).agg(F.sum("__taken")).first()[0] == 12
+
+
+# ---- packing (1) -------------------------------------------------------------------------------------------------------
+
+TEXTS = ["Hello, World! it's 1st-rate &lt; ééé ß µ ½ İstanbul", "", None, "naïve\x1ccafé\xa0x", "日本語 text", "don't we'LL 've", "é combining", "<|endoftext|> a"]
+
+
+def test_chunk_tokenizer_equals_encoding_whole_texts():
+    tok = tokenization.ChunkTokenizer(tokenizer_path())
+    rng = random.Random(4)
+    many = TEXTS + ["".join(rng.choice("abcDE fgh'.,é½ \n\tst1re") for _ in range(200)) for _ in range(200)]
+    for t in many:
+        if t is not None:
+            assert np.frombuffer(tok.encode(t), "<u4").tolist() == tok.tok.encode(t, add_special_tokens=False).ids, t
+
+
+def test_pattern_plan_places_every_length_once():
+    rng = random.Random(6)
+    for histogram in ({2048: 3, 1: 5000}, {7: 1}, {1500: 10, 600: 30, 548: 9}, {k: rng.randint(0, 40) for k in range(1, 2049)}):
+        plan = packing.pattern_plan(histogram, 2048)
+        placed = {}
+        for count, items in plan:
+            assert 0 < sum(a * b for a, b in items) <= 2048
+            for length, repeats in items:
+                placed[length] = placed.get(length, 0) + count * repeats
+        assert placed == {k: v for k, v in histogram.items() if v}
+
+
+def test_packing_is_a_gapless_partition(spark):
+    rng = random.Random(8)
+    texts = TEXTS + [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.choice([3, 40, 400, 3000]))) for _ in range(60)]
+    docs = docs_of(spark, texts).repartition(3)
+    rows = packing.pack_documents(docs, tokenizer_path(), 256).collect()
+    tok = tokenization.ChunkTokenizer(tokenizer_path())
+    by_doc, by_seq = {}, {}
+    for r in rows:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+        by_seq.setdefault(r["sequence_id"], []).append(r)
+    for k, t in enumerate(texts):
+        data = b"".join(bytes(r["ids"]) for r in sorted(by_doc[k], key=lambda r: r["start"]))
+        assert data == tok.encode(t or "") + (1).to_bytes(4, "little")
+        assert all(r["doc_tokens"] == len(data) // 4 and r["length"] == len(r["ids"]) // 4 for r in by_doc[k])
+    assert sorted(by_seq) == list(range(len(by_seq)))
+    for rs in by_seq.values():
+        at = 0
+        for r in sorted(rs, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 256
+    assert packing.pack_documents(docs.limit(0), tokenizer_path(), 256).count() == 0
+
+
+# ---- toxicity (3) and language (5) -------------------------------------------------------------------------------------
+
+def test_toxicity_on_held_out_rows(spark):
+    rng = random.Random(9)
+    texts, labels = [], []
+    for k in range(900):
+        w = [f"v{rng.randrange(400)}" for _ in range(rng.randint(20, 80))]
+        toxic = k % 6 == 0
+        for _ in range(3 * toxic):
+            w[rng.randrange(len(w))] = rng.choice(["nastyword", "vileterm", "horridish"])
+        texts.append(" ".join(w))
+        labels.append((k, 1, int(toxic)))
+    docs, lab = docs_of(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, lab)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    test = [k for k in range(900) if zlib.crc32(str(k).encode()) % 3 == 1]
+    assert all(0 <= got[k] <= 1 for k in got)
+    right = [(got[k] >= toxicity.CUT) == (k % 6 == 0) for k in test]
+    assert np.mean(right) > 0.95
+    odd = spark.createDataFrame([(1, None), (2, ""), (None, "nastyword"), (2, "")], "doc_id long, text string")
+    assert toxicity.score(odd, model).count() == 4 and toxicity.score(odd.limit(0), model).count() == 0
+    assert toxicity.train(docs, lab.limit(0)) is None
+    assert {r["score"] for r in toxicity.score(odd, None).collect()} == {0.0}
+
+
+def test_gru_gradients_by_differences():
+    m = language_id.ByteGRU(["a", "b"], hidden=3, seed=1)
+    m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
+    rng = np.random.default_rng(0)
+    x, y = rng.integers(97, 101, (5, 4)).astype(np.uint8), np.array([0, 1, 1, 0])
+    _, g = m.loss_and_grads(x, y)
+    for k in m.p:
+        for at in list(np.ndindex(m.p[k].shape))[:: max(1, m.p[k].size // 6)] if not k.startswith("E") else [(98, 0), (99, 4), (100, 8)]:
+            old, e = m.p[k][at], 1e-4
+            m.p[k][at] = old + e
+            up, _ = m.loss_and_grads(x, y)
+            m.p[k][at] = old - e
+            down, _ = m.loss_and_grads(x, y)
+            m.p[k][at] = old
+            assert abs((up - down) / (2 * e) - g[k][at]) < 2e-3 * max(1, abs(g[k][at])), (k, at)
+
+
+def test_language_id_on_held_out_rows(spark):
+    rng = random.Random(10)
+    parts = {"aa": ["ka", "lo", "mi"], "bb": ["sch", "ung", "ver"], "cc": ["eau", "oux", "é"]}
+    texts, langs = [], []
+    for k in range(420):
+        lang = list(parts)[k % 3]
+        texts.append(" ".join("".join(rng.choice(parts[lang]) for _ in range(3)) for _ in range(rng.randint(5, 60))))
+        langs.append(lang)
+    texts += [None, "", "123 !!", "x" * 5000]
+    langs += [None, "aa", "aa", None]
+    docs = docs_of(spark, texts, lang=langs)
+    model = language_id.train(docs)
+    got = {r["doc_id"]: (r["__pred"], r["__score"]) for r in language_id.predict(docs, model, ["doc_id"]).collect()}
+    assert np.mean([got[k][0] == langs[k] for k in range(420) if zlib.crc32(str(k).encode()) % 3 == 1]) > 0.97
+    assert all(got[k] == ("und", 0.0) for k in (420, 421, 422)) and got[423][0] in parts
+    assert language_id.predict(docs.limit(0), model, ["doc_id"]).count() == 0
+    assert {r["__pred"] for r in language_id.predict(docs, None, ["doc_id"]).collect()} == {"und"}
+
+
+def test_pooling_does_not_depend_on_the_batch():
+    m = language_id.ByteGRU(["a", "b", "c"], seed=2)
+    texts = [b"hello there", b"x" * 64, b"y" * 129, b"z"]
+    alone = np.concatenate([m.pooled([t]) for t in texts])
+    assert np.allclose(m.pooled(texts), alone, atol=1e-6) and np.allclose(alone.sum(1), 1, atol=1e-5)
+
+
+# ---- vectors (7) -------------------------------------------------------------------------------------------------------
+
+def test_near_vectors_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 8))
+    x = np.concatenate([centres[rng.integers(0, 12, 300)] + rng.normal(scale=0.25, size=(300, 8)), centres[:4], centres[:4] * 2])
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(x)]
+    odd = [(1000, None, 1), (1001, [0.0] * 8, 1), (1002, [float("nan")] + [1.0] * 7, 1), (1003, [1.0, None] + [1.0] * 6, 1), (1004, [], 1)]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in cover_tree.near_vectors(df).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.9
+    label = list(range(len(x)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, j in zip(*np.nonzero(near), strict=True):
+        a, b = root(i), root(j)
+        label[max(a, b)] = min(a, b)
+    assert all(got[k] == (near[k].sum() - 1, root(k), root(k) == k) for k in range(len(x)))
+    assert all(got[k] == (0, k, True) for k, _, _ in odd)
+    assert cover_tree.near_vectors(df.limit(0)).count() == 0
+
+
+def test_cover_tree_bounds_hold():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 5))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    t = cover_tree.CoverTree(x)
+    y = x[t.order]
+    assert sorted(t.order.tolist()) == list(range(400))
+    for spans, centres, cover in t.levels:
+        for (lo, hi), c, r in zip(spans.tolist(), centres.tolist(), cover.tolist(), strict=True):
+            assert lo <= c < hi and np.sqrt(((y[lo:hi] - y[c]) ** 2).sum(1)).max() <= r + 1e-6
+    found = {(int(i), int(j)) for p in cover_tree.close_pairs(t, y, t, y, 0.4) for i, j in zip(*p, strict=True)}
+    d = np.sqrt(np.maximum(0, 2 - 2 * y @ y.T))
+    assert {(int(i), int(j)) for i, j in zip(*np.nonzero(d <= 0.399), strict=True)} <= found
+
+
+# ---- pages (4, 9) ------------------------------------------------------------------------------------------------------
+
+def test_blocks_of_broken_and_odd_markup():
+    html = "<!DOCTYPE html><head><title>x</title></head><body><nav>menu</nav><div class='side-bar'>s</div><article><h1>A &amp B</h1><p>one <b>two<br>three<p>four&nbsp;five<script>var a='</p>'</script></p><div class=ad>buy</div></article><div id=comments><p>hi</p></div><footer>f"
+    assert html_extract.main_text(html_extract.blocks(html), []) == "A & B\none two three\nfour five"
+    assert html_extract.blocks("") == [] and html_extract.blocks("<") == [("<", False)] and html_extract.blocks("a < b") == [("a < b", False)]
+    assert html_extract.blocks("<p>x</p" + "<p>" * 3000 + "y")[-1] == ("y", False)
+
+
+def test_shared_lines_go_and_copies_stay(spark):
+    page = lambda body: f"<body><div>Site name here</div><p>{body}</p><div>All rights reserved by nobody</div></body>"
+    rows = [(1, "http://h.x/a/1", page("first article text " * 9)), (2, "http://h.x/a/2", page("second article words " * 9)), (3, "http://other.x/1", page("alone")), (4, None, None), (5, "u", "")]
+    rows += [(6, "http://c.x/1", page("a copy of text " * 9)), (7, "http://c.x/2", page("a copy of text " * 9))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(df.coalesce(1)).collect()}
+    assert got[1] == ("first article text " * 9).strip() and got[2] == ("second article words " * 9).strip()
+    assert got[3].startswith("Site name") and got[4] == got[5] == "" and "a copy of text" in got[6] and "a copy of text" in got[7]
+    assert html_extract.extract(df.limit(0)).count() == 0
+
+
+def test_common_lines_are_a_longest_common_subsequence():
+    rng = random.Random(12)
+    for _ in range(100):
+        a, b = [[rng.choice("abcd") for _ in range(rng.randint(0, 9))] for _ in range(2)]
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        assert len(html_extract.common_lines(a, b)) == t[-1][-1]
+
+
+def test_loser_tree_merges_like_sorting():
+    rng = random.Random(13)
+    for k in range(0, 9):
+        runs = [sorted(rng.randrange(20) for _ in range(rng.randint(0, 12))) for _ in range(k)]
+        assert list(warc.LoserTree(runs, lambda v: v)) == sorted(v for r in runs for v in r)
+
+
+def test_warc_round_trip(spark):
+    long_ = "<p>" + "payload é " * 30 + "\r\n\r\nWARC/1.1\r\n</p>"
+    rows = [(3, "http://a.x/1", long_), (1, "http://www.b.x/z", long_), (2, None, "short"), (4, "http://b.x/a", "short"), (5, "http://a.x/0", None), (6, "http://a.x/0\r\nx", ""), (1, "http://www.b.x/z", long_)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    records, index = warc.archive(df)
+    got = sorted((tuple(r) for r in records.drop("url").collect()), key=str)
+    assert got == duck(f"SELECT page_id, payload_bytes, payload_digest, record_type, refers_to FROM ({ORACLE_SQL['op9_warc']})", pages=df)
+    entries = index.orderBy("part", "rank").collect()
+    keys = [(r["urlkey"], r["ts"], r["page_id"]) for r in entries]
+    assert keys == sorted(keys) and len(keys) == len(rows)
+    for r in entries:  # each entry leads to its record
+        with open(warc._filesystem(r["file"])[1], "rb") as f:
+            f.seek(r["offset"])
+            data = gzip.decompress(f.read(r["length"]))
+        head, _ = next(warc.read_records(io.BytesIO(data)))
+        assert head["WARC-Record-ID"] == f"<urn:page:{r['page_id']}>" and head["WARC-Type"] == r["record_type"]
+    assert warc.archive(df.limit(0))[0].count() == 0
+
+
+def test_warc_index_in_several_ranges(spark):
+    rows = [(k, f"http://hot.x/{k % 7}", f"page {k}") for k in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    runs = warc.write_archives(warc.plan_records(df), warc.new_path(spark, "t")).persist()
+    got = warc.merge_index(runs, 50).orderBy("part", "rank").collect()
+    assert [(r["urlkey"], r["page_id"]) for r in got] == sorted((warc.url_key(u), k) for k, u, _ in rows)
+    assert len({r["part"] for r in got}) > 1
