@@ -21,6 +21,8 @@ from html import unescape
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from stepforge.llm.storage import bounded_batches
+
 COPY_SHARE = 0.6
 
 # Fixed values of HTML: element kinds.
@@ -158,7 +160,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: one row for each row of pages."""
     url = F.coalesce("url", F.lit(""))
     keyed = pages.select("page_id", "url", "html", F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)).alias("__host"), F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1).alias("__path"))
-    ordered = keyed.repartitionByRange("__host", "__path", "page_id").sortWithinPartitions("__host", "__path", "page_id")
+    ordered = bounded_batches(keyed).repartitionByRange("__host", "__path", "page_id").sortWithinPartitions("__host", "__path", "page_id")
 
     def run(frames):
         rows, done = [], []  # a page waits for its next neighbour and keeps its previous one

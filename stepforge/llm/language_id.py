@@ -15,6 +15,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from stepforge.llm.storage import bounded_batches
+
 HIDDEN, WINDOW, TRAIN_WINDOW = 8, 64, 32
 STEPS, BATCH, RATE, SEED = 400, 256, 0.02, 11
 SAMPLE_PER_LANGUAGE, SALTS, SAMPLE_CHARS = 800, 16, 512
@@ -146,10 +148,10 @@ def held_out(doc_id):
 def training_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> list:
     """At most per_language (lang, excerpt) rows of each language, by smallest hash; salted, so that no task gets a language."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).withColumn("__key", F.xxhash64("doc_id"))
-    rows = rows.withColumn("__salt", F.pmod("__key", F.lit(SALTS)))
-    nth = F.row_number().over(Window.partitionBy("lang", "__salt").orderBy("__key", "text"))
     at = F.pmod(F.shiftright("__key", 7), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))).cast("int") + 1
-    return rows.select("lang", "__salt", "__key", "text").where(F.rlike("text", F.lit(r"\p{L}"))).withColumn("__nth", nth).where(F.col("__nth") <= per_language // SALTS).select("lang", F.substring(F.col("text"), at, F.lit(SAMPLE_CHARS)).alias("text")).collect()
+    cut = rows.where(F.rlike("text", F.lit(r"\p{L}"))).select("lang", "__key", F.pmod("__key", F.lit(SALTS)).alias("__salt"), F.substring(F.col("text"), at, F.lit(SAMPLE_CHARS)).alias("text"))
+    nth = F.row_number().over(Window.partitionBy("lang", "__salt").orderBy("__key", "text"))
+    return cut.withColumn("__nth", nth).where(F.col("__nth") <= per_language // SALTS).select("lang", "text").collect()
 
 
 def train(docs: DataFrame) -> ByteGRU | None:
@@ -194,9 +196,9 @@ def predict(docs: DataFrame, model: ByteGRU | None, columns: list[str]) -> DataF
 
     def run(frames):
         for pdf in frames:
-            pred, score = label(pdf["__text"].tolist())
-            yield pdf.drop(columns="__text").assign(__pred=pred, __score=score)
+            pred, score = label(pdf["text"].tolist())
+            yield pdf[columns].assign(__pred=pred, __score=score)
 
-    rows = docs.select(*[F.col(c) for c in columns], F.col("text").alias("__text"))
+    rows = bounded_batches(docs).select(*columns, *(["text"] if "text" not in columns else []))
     schema = docs.select(*columns).schema.add("__pred", "string").add("__score", "double")
     return rows.mapInPandas(run, schema)

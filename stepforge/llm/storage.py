@@ -21,7 +21,7 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str, per_task_mb: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df once and read it back: later stages restart from the files, not from df's plan."""
     spark = df.sparkSession
     path = new_path(spark, label)
@@ -29,8 +29,14 @@ def materialize(df: DataFrame, label: str, per_task_mb: int | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
-def row_count(df: DataFrame) -> int:
-    return df.count()
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches bounded in bytes: of long texts a batch holds few rows."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
 
 
 def bounded_broadcast(df: DataFrame, rows: int, max_rows: int = 200_000):
@@ -38,3 +44,17 @@ def bounded_broadcast(df: DataFrame, rows: int, max_rows: int = 200_000):
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if rows <= max_rows else df
+
+
+def hash_sample(df: DataFrame, key: str, most: int, columns: list[str]) -> list:
+    """About `most` rows at most, those with the smallest hashes of key, on the driver: rows above a hash that leaves a
+    tenth more than asked for are filtered out where they are, so no task sends more than its share."""
+    from pyspark.sql import functions as F
+
+    n = df.count()
+    h = F.shiftrightunsigned(F.xxhash64(F.lit(97), key), 24)
+    picked = df.withColumn("__h", h)
+    if n > most:
+        picked = picked.where(F.col("__h") < int((1 << 40) * min(1.0, 1.1 * most / n)))
+    rows = sorted(picked.select("__h", *columns).collect(), key=lambda r: (r[0], *(str(v) for v in r[1:])))
+    return rows[:most]

@@ -13,7 +13,7 @@ _N = "0-9" + "".join(map(chr, (0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE)))
 _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\\s{_L}{_N}]+")
 #: Characters that regular expression engines may or may not take for white space.
 _DOUBTFUL = re.compile("[" + "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0xA0))) + "]")
-CACHE = 300_000
+CACHE = 200_000
 
 
 class ChunkTokenizer:
@@ -24,8 +24,7 @@ class ChunkTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.path, self._tok = path, None
         self.cache: dict[str, bytes] = {}
         # the same model for words that are already normalised and parted by spaces
         self.words = Tokenizer.from_file(path)
@@ -33,10 +32,20 @@ class ChunkTokenizer:
         self.words.normalizer = None
         self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         #: Ids that end a word, for tokenizers that mark word ends.
-        suffix = getattr(self.tok.model, "end_of_word_suffix", None)
-        self.ends = np.zeros(self.tok.get_vocab_size() + 1, bool)
+        suffix = getattr(self.words.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.words.get_vocab_size() + 1, bool)
         if suffix:
-            self.ends[[i for w, i in self.tok.get_vocab(with_added_tokens=False).items() if w.endswith(suffix)]] = True
+            self.ends[[i for w, i in self.words.get_vocab(with_added_tokens=False).items() if w.endswith(suffix)]] = True
+
+    @property
+    def tok(self):
+        """The tokenizer as it is, loaded when a text needs it."""
+        if self._tok is None:
+            from tokenizers import Tokenizer
+
+            self._tok = Tokenizer.from_file(self.path)
+            self._tok.encode_special_tokens = True
+        return self._tok
 
     def encode(self, text: str) -> bytes:
         if not text.isascii():

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from stepforge.llm.storage import bounded_broadcast, materialize, new_path
+from stepforge.llm.storage import bounded_batches, bounded_broadcast, materialize, new_path
 
 MIN_BYTES = 100
 EPOCH_DATE = "2024-01-01T00:00:00Z"
@@ -166,7 +166,7 @@ def write_archives(planned: DataFrame, folder: str) -> DataFrame:
             yield frame.assign(page_id=frame["page_id"].astype("Int64"), run=run, file=name)
 
     schema = "urlkey string, ts string, page_id long, record_type string, offset long, length long, run int, file string"
-    return planned.mapInPandas(write, schema)
+    return bounded_batches(planned).mapInPandas(write, schema)
 
 
 def merge_index(runs: DataFrame, rows_a_range: int = INDEX_ROWS_A_RANGE) -> DataFrame:
