@@ -17,8 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from stepforge.llm.hashing import NOT_ALNUM, batches_by_bytes, word_hashes
+from stepforge.llm.storage import bounded_batches, hash_sample
 
-MAX_POSITIVE, MAX_UNLABELLED, SAMPLE_CHARS = 4000, 12000, 20_000
+MAX_POSITIVE, MAX_UNLABELLED, SAMPLE_CHARS = 3000, 9000, 20_000
 FEATURE_BITS, PREFIXES, MOST = 22, (4, 5, 6, 7), 8
 MIN_POSITIVE_TEXTS, MIN_LIFT, MIN_Z = 5, 3.0, 6.0
 EPOCHS, BATCH, RATE, L2, SEED = 30, 512, 0.03, 2e-4, 5
@@ -35,6 +36,15 @@ def features(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key & ((1 << FEATURE_BITS) - 1), np.minimum(count, MOST).astype(float), np.searchsorted(key >> np.int64(FEATURE_BITS), np.arange(len(b)))
 
 
+def _holders(texts) -> np.ndarray:
+    """In how many texts each feature is found."""
+    out = np.zeros(1 << FEATURE_BITS, np.int32)
+    for lo, hi in batches_by_bytes(texts):
+        found, n = np.unique(features(texts[lo:hi])[0], return_counts=True)
+        out[found] += n.astype(np.int32)
+    return out
+
+
 class NonNegativePU:
     def __init__(self, prior: float):
         self.prior = prior
@@ -50,14 +60,12 @@ class NonNegativePU:
 
     def fit(self, pos, unl) -> "NonNegativePU":
         """pos, unl: texts. A word has a weight if significantly more positives than unlabelled texts hold it."""
-        dim = 1 << FEATURE_BITS
-        p, u = features(pos), features(unl)
-        n_p, n_u = len(p[2]) - 1, len(u[2]) - 1
-        seen, likely = np.bincount(p[0], minlength=dim), np.bincount(u[0], minlength=dim) * (n_p / n_u)
+        dim, n_p, n_u = 1 << FEATURE_BITS, len(pos), len(unl)
+        seen, likely = _holders(pos), _holders(unl) * (n_p / n_u)
         known = np.flatnonzero((seen >= MIN_POSITIVE_TEXTS) & (seen >= MIN_LIFT * likely) & (seen - likely >= MIN_Z * np.sqrt(np.maximum(likely, 0.5))))
         self.slot = np.zeros(dim, np.int32)
         self.slot[known] = np.arange(1, len(known) + 1)
-        p, u = self._known(p), self._known(u)
+        p, u = self._weighed(pos), self._weighed(unl)
         self.w, self.bias = np.zeros(len(known) + 1), -2.0
         rng = np.random.default_rng(SEED)
         m, v, step = np.zeros(len(self.w) + 1), np.zeros(len(self.w) + 1), 0
@@ -92,6 +100,13 @@ class NonNegativePU:
         self.scale = float(max(1e-6, np.std(raw)))
         return self
 
+    def _weighed(self, texts):
+        """Features with a weight, made batch by batch so that the others never pile up."""
+        parts = [self._known(features(texts[lo:hi])) for lo, hi in batches_by_bytes(texts)]
+        ends = np.cumsum([0, *(len(i) for i, _, _ in parts)])
+        bounds = np.concatenate([[0], *(b[1:] + e for (_, _, b), e in zip(parts, ends, strict=False))])
+        return np.concatenate([i for i, _, _ in parts]), np.concatenate([v for _, v, _ in parts]), bounds.astype(np.int64)
+
     def _known(self, data):
         idx, val, b = data
         s = self.slot[idx]
@@ -116,8 +131,8 @@ def train(docs: DataFrame, labels: DataFrame) -> NonNegativePU | None:
     prior = lab.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     if not prior:
         return None
-    learn = docs.where("doc_id is not null").where(~held_out(F.col("doc_id"))).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("__key", F.xxhash64("doc_id"))
-    pick = lambda d, n: [r[0] for r in d.orderBy("__key", "text").limit(n).select("text").collect()]
+    learn = docs.where("doc_id is not null").where(~held_out(F.col("doc_id"))).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    pick = lambda d, n: [r["text"] for r in hash_sample(d, "doc_id", n, ["text"])]
     positive = pick(learn.where(F.length("text") <= SAMPLE_CHARS).join(lab.where("toxic = 1").select("doc_id"), "doc_id", "left_semi"), MAX_POSITIVE)
     unlabelled = pick(learn.where(F.length("text") <= SAMPLE_CHARS), MAX_UNLABELLED)
     if not positive or not unlabelled:
@@ -133,4 +148,4 @@ def score(docs: DataFrame, model: NonNegativePU | None) -> DataFrame:
             texts = [t if isinstance(t, str) else None for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": model.score(texts) if model else 0.0})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
+    return bounded_batches(docs).select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
