@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from stepforge.dtypes import DTYPES
 from stepforge.functions.numeric import INF
 from stepforge.operators import barcodes, pairs, steps
-from stepforge.operators.homology import persistent_homology as compute_persistent_homology  # noqa: F401
-from stepforge.operators.matrices import DistanceMatrix, SymmetricMatrix
+from stepforge.operators.homology import persistent_homology
+from stepforge.operators.matrices import DistanceMatrix, SymmetricMatrix, stack_matrices
+from stepforge.sources.construct import point_clouds, stack
 from stepforge.tensor import Tensor, allclose, axes, cells, from_points, to_points  # noqa: F401
 
 
@@ -113,7 +116,13 @@ def _one_axis(x: Tensor) -> None:
         raise ValueError("a tensor with one axis is asked for")
 
 
-def pdist(x: Tensor, p: float = 1.0, strategy: str = "auto") -> DistanceMatrix:
+def _listed(x) -> Tensor:
+    """A tensor, or a list of single functions as one."""
+    return x if isinstance(x, Tensor) else stack([f.reshape(()) for f in x])
+
+
+def pdist(x: Tensor | list, p: float = 1.0, strategy: str = "auto") -> DistanceMatrix:
+    x = _listed(x)
     _one_axis(x)
     return DistanceMatrix(pairs.pdist(to_points(x), "i0", p, strategy), x.shape[0])
 
@@ -128,7 +137,8 @@ def cdist(x: Tensor, y: Tensor, p: float = 1.0, strategy: str = "auto") -> Tenso
     return _scalars(d.withColumnsRenamed(names).withColumnRenamed("d", "x"), (*x.shape, *y.shape), x)
 
 
-def l2_kernel(x: Tensor, strategy: str = "auto") -> SymmetricMatrix:
+def l2_kernel(x: Tensor | list, strategy: str = "auto") -> SymmetricMatrix:
+    x = _listed(x)
     _one_axis(x)
     return SymmetricMatrix(pairs.l2_kernel(to_points(x), "i0", strategy), x.shape[0])
 
@@ -140,6 +150,31 @@ def l2_cross_kernel(x: Tensor, y: Tensor, strategy: str = "auto") -> Tensor:
     return _scalars(k.select(F.col("i").alias("i0"), F.col("j").alias("i1"), F.col("k").alias("x")), (x.shape[0], y.shape[0]), x)
 
 
+def compute_persistent_homology(x, max_dim: int = 1, reduced: bool = False, distance_type: str = "Euclidean", complex_type: str = "VietorisRips", spark=None) -> Tensor:
+    """Barcodes for a tensor of clouds or distance matrices (shape x.shape + (max_dim + 1,)), or for one cloud, given as an
+    n x d array or float tensor, or one DistanceMatrix (shape (max_dim + 1,))."""
+    one = not (isinstance(x, Tensor) and x.dtype.family in ("pcloud", "distmat"))
+    if isinstance(x, DistanceMatrix):
+        x = stack_matrices([x])
+    elif one:
+        if isinstance(x, Tensor):
+            if x.dtype.family != "float":
+                raise TypeError("clouds or distance matrices are asked for")
+            spark, x = x.spark, x.to_numpy()
+        x = np.asarray(x, float)
+        if x.ndim != 2:
+            raise ValueError("a cloud is an n x d array of points")
+        x = point_clouds(spark, [x])
+    h = persistent_homology(x, max_dim, reduced, distance_type, complex_type)
+    return h[0] if one else h
+
+
+def element_to_numpy(x: Tensor):
+    """The n x 2 array of one step function (times, values) or barcode (births, deaths)."""
+    x._need("pcf", "ipcf", "barcode")
+    return np.array([tuple(r) for r in x.item()], x.dtype.numpy).reshape(-1, 2)
+
+
 def to_bars(x: Tensor):
     x._need("barcode")
     return x.df.select(*axes(x.ndim), F.inline("x"))

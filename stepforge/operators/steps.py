@@ -64,7 +64,7 @@ def evaluate_at(points: DataFrame, keys: Sequence[str], times: DataFrame, time_c
         at = (F.col("l") <= F.col(time_col)) & (F.col(time_col) < F.col("r"))
         return segments(points, keys, INF).join(F.broadcast(times), at).select(*keys, *times.columns, "v")
     ids = points.select(*keys).distinct()
-    asked = ids.crossJoin(times) if not keys else ids.join(times)
+    asked = ids.join(times)  # every function at every time is what is asked for
     rest = [c for c in times.columns if c != time_col]
     both = points.select(*keys, F.col("t").alias("__t"), F.lit(0).alias("__q"), "v", *[F.lit(None).cast(times.schema[c].dataType).alias(c) for c in rest])
     both = both.unionByName(asked.select(*keys, F.col(time_col).alias("__t"), F.lit(1).alias("__q"), F.lit(None).cast("double").alias("v"), *rest))
@@ -127,9 +127,12 @@ def fold(points: DataFrame, keys: Sequence[str], member: str, op: Callable[[list
     fn = {"sum": F.sum, "max": F.max, "min": F.min, "mean": F.avg}[op] if isinstance(op, str) else op
     s = segments(points, [*keys, member])
     times = points.select(*keys, "t").distinct()
-    on = [F.col(f"s.{k}") == F.col(f"x.{k}") for k in keys]
-    joined = s.alias("s").join(times.alias("x"), [*on, F.col("s.l") <= F.col("x.t"), F.col("x.t") < F.col("s.r")])
-    rows = joined.select(*[F.col(f"x.{k}").alias(k) for k in keys], F.col("x.t").alias("t"), F.col("s.v").alias("v"))
+    last, mean_ = s.agg(F.max("l"), F.avg(F.when(F.col("r") < MAX, F.col("r") - F.col("l")))).first()
+    width = max(mean_ or 0.0, (last or 0.0) / 1_000_000) or 1.0
+    number = lambda c: F.floor(c / F.lit(width)).cast("bigint")
+    listed = s.withColumn("__k", F.explode(F.sequence(number(F.col("l")), number(F.least("r", F.lit(last or 0.0))))))
+    asked = times.withColumn("__k", number(F.col("t"))).hint("shuffle_hash")
+    rows = listed.drop(member).join(asked, [*keys, "__k"]).where("l <= t and t < r").select(*keys, "t", "v")
     if zero:
         rows = rows.union(times.select(*keys, "t", F.lit(0.0)))
     return compact(rows.groupBy(*keys, "t").agg(fn("v").alias("v")), keys)

@@ -41,12 +41,8 @@ def _r(c, name: str | None = None, digits: int = 6):
 
 def user_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(i0, t, v): one function for each user of events."""
-    points = construct.points_from_events(_read(spark, sf_dir, "events"))
-    return points.join(F.broadcast(construct.rank_axis(points, "user_id")) if _few_users(points) else construct.rank_axis(points, "user_id"), "user_id").select("i0", "t", "v")
-
-
-def _few_users(points: DataFrame) -> bool:
-    return points.select("user_id").distinct().count() <= 100_000
+    events = _read(spark, sf_dir, "events")
+    return construct.points_from_events(events).join(construct.rank_axis(events, "user_id"), "user_id").select("i0", "t", "v")
 
 
 _USERS = """
@@ -516,10 +512,8 @@ def zeros(spark, d):
 SELECT n.i0, round(t, 6) AS t, v FROM n JOIN c ON row >= a AND row < b""")
 def from_serial_content(spark, d):
     """Users' functions as one numbered table of breakpoints with ranges, read back to a tensor."""
-    from pyspark.sql import Window
-
     p = user_points(spark, d)
-    numbered = p.withColumn("row", F.row_number().over(Window.orderBy("i0", "t")) - 1)
+    numbered = construct.numbered(p, ["i0", "t"], "row")
     ranges = numbered.groupBy("i0").agg(F.min("row").alias("start"), (F.max("row") + 1).alias("stop"))
     x = construct.from_serial_content(numbered.select("row", "t", "v"), ranges, (ranges.count(),))
     return to_points(x).select("i0", _r("t"), "v")

@@ -99,8 +99,13 @@ def test_matrices_and_clouds_agree(spark):
     x = np.random.default_rng(1).normal(size=(10, 2))
     h = api.compute_persistent_homology(stack_matrices([DistanceMatrix.from_numpy(spark, homology.distances(x))]), 1)
     assert [sorted((b["birth"], b["death"]) for b in r["x"]) for r in h.df.orderBy("i1").collect()] == bars(spark, x)
+    for one in (x, C.from_numpy(spark, x), DistanceMatrix.from_numpy(spark, homology.distances(x))):
+        h = api.compute_persistent_homology(one, 1, spark=spark)
+        assert h.shape == (2,) and len(api.element_to_numpy(h[0:1])) == 10
     with pytest.raises(TypeError):
-        api.compute_persistent_homology(C.zeros(spark, (1,), "float64"))
+        api.compute_persistent_homology(C.zeros(spark, (1,), "int64"))
+    with pytest.raises(ValueError):
+        api.compute_persistent_homology(np.zeros(3), spark=spark)
 
 
 def test_h0_bars_from_pairs(spark):

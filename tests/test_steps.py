@@ -111,6 +111,8 @@ def test_distances(spark):
     assert api.l2_kernel(y).to_numpy().tolist() == [[16, 4], [4, 1]] == api.l2_cross_kernel(y, y).to_numpy().tolist()
     tails = C.pcf_tensor(spark, [[(0, 1.0), (1, 2.0)], [(0, 0.0), (1, 2.0)]])
     assert api.pdist(tails).to_numpy()[0, 1] == 1
+    fs = [C.pcf(spark, [(0, 10.0), (2, 5.0), (3, 0.0)]), C.pcf(spark, [(0, 5.0), (6, 0.0)])]
+    assert api.pdist(fs)[1, 0] == 25 and api.element_to_numpy(fs[1]).tolist() == [[0, 5], [6, 0]]
     with pytest.raises(ValueError):
         api.pdist(C.pcf_tensor(spark, TABLE))
     with pytest.raises(ValueError):
@@ -148,6 +150,13 @@ def test_running_sums_over_several_ranges(spark, monkeypatch):
     assert (got.groupby("k")["n"].cumsum() == got["s"]).all() and len(got) == 1000
 
 
+def test_numbering_over_several_ranges(spark, monkeypatch):
+    monkeypatch.setattr(C, "NUMBERED_ROWS", 100)
+    df = spark.range(950).select((F.col("id") * 7919 % 950).alias("a"), F.concat(F.lit("k"), F.col("id") % 5).alias("b"))
+    got = C.numbered(df, ["b", "a"], "n").orderBy("n").collect()
+    assert [r["n"] for r in got] == list(range(950)) and [(r["b"], r["a"]) for r in got] == sorted((r["b"], r["a"]) for r in got)
+
+
 def test_construction(spark):
     assert pts(C.pcf(spark, [(0, 1.0), (3, 3.0), (2, 2.0)])) == [(0, 1), (2, 2), (3, 3)] and pts(C.pcf(spark, [])) == [(0, 0)]
     with pytest.raises(ValueError):
