@@ -11,15 +11,14 @@ rows tied in key are ordered by id and size (equal ones are interchangeable); an
 """
 
 import math
-import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stepforge.llm.storage import materialize
 
 WEIGHTS, SHARE, CAP, SEED = (5, 2, 1), 1.5, 2.0, "mix"
 ROWS_A_RANGE = 2000
+_SPACE = r"\x20\x09-\x0D"
 
 
 def n_words(text: Column) -> Column:
@@ -68,17 +67,6 @@ def realize(mixed: DataFrame, columns: list[str]) -> DataFrame:
     part = F.when(F.col("__size") > 0, F.col("__taken") % F.col("__size")).otherwise(0).cast("long")
     counts = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<long>")))
     rows = mixed.select(*columns, F.explode(counts).alias("__words"))
-
-    def cut(frames):
-        for pdf in frames:
-            short = pdf["__words"] >= 0
-            for i in pdf.index[short]:
-                n = int(pdf.at[i, "__words"])
-                for k, m in enumerate(re.finditer(r"[^\x20\x09-\x0D]+", pdf.at[i, "text"]), 1):
-                    if k == n:
-                        pdf.at[i, "text"] = pdf.at[i, "text"][: m.end()]
-                        break
-            yield pdf.drop(columns="__words")
-
-    schema = mixed.select(*columns).schema
-    return rows.where("__words < 0").drop("__words").union(rows.where("__words >= 0").mapInPandas(cut, schema))
+    # cut between a word's end and the white space after it: each piece but a blank last one ends in one word
+    lead = F.array_join(F.slice(F.split("text", f"(?<=[^{_SPACE}])(?=[{_SPACE}])"), 1, F.col("__words").cast("int")), "")
+    return rows.withColumn("text", F.when(F.col("__words") >= 0, lead).otherwise(F.col("text"))).select(*columns)

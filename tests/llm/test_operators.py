@@ -173,6 +173,7 @@ def test_mixing_equals_sql_and_meets_targets(spark):
     words = rows.select("doc_id", mixing.n_words(F.col("text")).alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n"))
     taken = {r["doc_id"]: r["__taken"] for r in mixed.collect() if r["__taken"]}
     assert {r["doc_id"]: r["n"] for r in words.collect()} == taken
+    assert all(texts[r["doc_id"]].startswith(r["text"]) and r["text"] == r["text"].rstrip() for r in rows.collect())
 
 
 def test_mixing_edge_cases(spark):
