@@ -2,7 +2,7 @@
 
 import numpy as np
 
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -124,7 +124,7 @@ def shingle_sets(texts, n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[keep], kept[bounds]
 
 
-def batches_by_bytes(texts, most: int = 1 << 20):
+def batches_by_bytes(texts, most: int = 1 << 19):
     """Index ranges of consecutive texts of about `most` characters."""
     lo = size = 0
     for i, t in enumerate(texts):

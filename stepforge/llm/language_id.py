@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from stepforge.llm.storage import bounded_batches
+from stepforge.llm.storage import bounded_batches, tidy
 
 HIDDEN, WINDOW, TRAIN_WINDOW = 8, 64, 32
 STEPS, BATCH, RATE, SEED = 400, 256, 0.02, 11
@@ -201,4 +201,4 @@ def predict(docs: DataFrame, model: ByteGRU | None, columns: list[str]) -> DataF
 
     rows = bounded_batches(docs).select(*columns, *(["text"] if "text" not in columns else []))
     schema = docs.select(*columns).schema.add("__pred", "string").add("__score", "double")
-    return rows.mapInPandas(run, schema)
+    return rows.mapInPandas(tidy(run), schema)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from stepforge.llm import tokenization
-from stepforge.llm.storage import bounded_batches, materialize
+from stepforge.llm.storage import bounded_batches, materialize, tidy
 
 MAX_LEN = 2048
 END_ID = 1
@@ -135,7 +135,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, end_id
                 yield frame()
 
     schema = "doc_id long, start long, length long, doc_tokens long, ids binary, part int, nth long"
-    return bounded_batches(docs).select("doc_id", "text").mapInPandas(cut, schema)
+    return bounded_batches(docs).select("doc_id", "text").mapInPandas(tidy(cut), schema)
 
 
 def pack(pieces: DataFrame, max_len: int = MAX_LEN) -> DataFrame:

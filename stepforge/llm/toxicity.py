@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from stepforge.llm.hashing import NOT_ALNUM, batches_by_bytes, word_hashes
-from stepforge.llm.storage import bounded_batches, hash_sample
+from stepforge.llm.storage import bounded_batches, hash_sample, tidy
 
 MAX_POSITIVE, MAX_UNLABELLED, SAMPLE_CHARS = 3000, 9000, 20_000
 FEATURE_BITS, PREFIXES, MOST = 22, (4, 5, 6, 7), 8
@@ -148,4 +148,4 @@ def score(docs: DataFrame, model: NonNegativePU | None) -> DataFrame:
             texts = [t if isinstance(t, str) else None for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": model.score(texts) if model else 0.0})
 
-    return bounded_batches(docs).select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
+    return bounded_batches(docs).select("doc_id", "text").mapInPandas(tidy(run), "doc_id long, score double")
