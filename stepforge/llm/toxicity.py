@@ -4,9 +4,10 @@ Confirmed toxic texts (labelled 1 in the learning folds) are the positives; unla
 folds, whatever their label) stands for the whole corpus. A linear classifier over counts of hashed words and word beginnings minimises
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
 with logistic losses; where the second part falls below zero its gradient is turned round. The class prior is the share
-of toxic rows among the labelled rows of the learning folds. The cut is put where the share of unlabelled texts above it
-equals the prior, and the score there is 0.7. Positives and unlabelled rows are bounded samples (MAX_POSITIVE,
-MAX_UNLABELLED, by smallest hash of the id); every row is scored on its whole text.
+of toxic rows among the labelled rows of the learning folds. The cut is put into the widest gap of the
+scores of unlabelled texts where about the prior's share is above it, and the score there is 0.7. Positives and
+unlabelled rows are bounded samples (MAX_POSITIVE, MAX_UNLABELLED, by smallest hash of the id); every row is scored on
+its whole text.
 
 Defined cases: null or empty text has no words and gets the bias's score; without labelled toxic rows every score is 0;
 repeated rows get equal scores; an empty table gives no rows; extra columns are ignored.
@@ -21,19 +22,23 @@ from stepforge.llm.storage import bounded_batches, hash_sample, tidy
 
 MAX_POSITIVE, MAX_UNLABELLED, SAMPLE_CHARS = 3000, 9000, 20_000
 FEATURE_BITS, PREFIXES, MOST = 22, (4, 5, 6, 7), 8
-MIN_POSITIVE_TEXTS, MIN_LIFT, MIN_Z = 5, 3.0, 6.0
-EPOCHS, BATCH, RATE, L2, SEED = 30, 512, 0.03, 2e-4, 5
+#: So many of the commonest features join in as a measure of length in each language: words that toxic texts only seem to hold
+#: more of, being longer, are set off against them.
+COMMON, COMMON_MOST, COMMON_UNIT = 128, 200, 20.0
+#: Small samples can show less significance.
+MIN_POSITIVE_TEXTS, MIN_LIFT, MIN_Z, MAX_Z, POSITIVES_A_Z = 5, 3.0, 6.0, 12.0, 200
+EPOCHS, BATCH, RATE, L2, SEED = 30, 512, 0.03, 1e-3, 5
 CUT = 0.7
-#: Of unlabelled texts, at most this many times the prior are above the cut.
-PRIOR_SLACK = 1.05
+#: Between these shares of the prior, as the share of unlabelled texts above it, the cut is put into the widest gap.
+PRIOR_RANGE = (0.6, 1.05)
 
 
 def features(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed words and word beginnings of each text with counts up to MOST: (index, value, bounds)."""
+    """Hashed words and word beginnings of each text with counts: (index, count, bounds)."""
     h, b = word_hashes(texts, breaks=NOT_ALNUM, prefixes=PREFIXES)
     doc = np.repeat(np.arange(len(b) - 1, dtype=np.int64), np.diff(b))
     key, count = np.unique((doc << np.int64(FEATURE_BITS)) | (h >> np.uint64(64 - FEATURE_BITS)).astype(np.int64), return_counts=True)
-    return key & ((1 << FEATURE_BITS) - 1), np.minimum(count, MOST).astype(float), np.searchsorted(key >> np.int64(FEATURE_BITS), np.arange(len(b)))
+    return key & ((1 << FEATURE_BITS) - 1), count.astype(float), np.searchsorted(key >> np.int64(FEATURE_BITS), np.arange(len(b)))
 
 
 def _holders(texts) -> np.ndarray:
@@ -62,7 +67,11 @@ class NonNegativePU:
         """pos, unl: texts. A word has a weight if significantly more positives than unlabelled texts hold it."""
         dim, n_p, n_u = 1 << FEATURE_BITS, len(pos), len(unl)
         seen, likely = _holders(pos), _holders(unl) * (n_p / n_u)
-        known = np.flatnonzero((seen >= MIN_POSITIVE_TEXTS) & (seen >= MIN_LIFT * likely) & (seen - likely >= MIN_Z * np.sqrt(np.maximum(likely, 0.5))))
+        z = min(MAX_Z, MIN_Z + n_p / POSITIVES_A_Z)
+        known = np.flatnonzero((seen >= MIN_POSITIVE_TEXTS) & (seen >= MIN_LIFT * likely) & (seen - likely >= z * np.sqrt(np.maximum(likely, 0.5))))
+        common = np.setdiff1d(np.argsort(-likely, kind="stable")[: min(COMMON, n_p // 10)], known)
+        self.significant = len(known)
+        known = np.concatenate((known, common[likely[common] > 0]))
         self.slot = np.zeros(dim, np.int32)
         self.slot[known] = np.arange(1, len(known) + 1)
         p, u = self._weighed(pos), self._weighed(unl)
@@ -70,7 +79,8 @@ class NonNegativePU:
         rng = np.random.default_rng(SEED)
         m, v, step = np.zeros(len(self.w) + 1), np.zeros(len(self.w) + 1), 0
         sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-        for _ in range(EPOCHS):
+        mean_w, mean_bias, averaged = np.zeros_like(self.w), 0.0, 0
+        for epoch in range(EPOCHS):
             order = rng.permutation(n_u)
             for lo in range(0, n_u, BATCH):
                 ru, rp = order[lo : lo + BATCH], rng.integers(0, n_p, BATCH // 2)
@@ -92,11 +102,17 @@ class NonNegativePU:
                 self.w -= d[:-1]
                 self.w[0] = 0
                 self.bias -= d[-1]
+                if epoch >= EPOCHS // 2:  # the mean of the later steps, which sway as the correction turns gradients round
+                    averaged += 1
+                    mean_w += (self.w - mean_w) / averaged
+                    mean_bias += (self.bias - mean_bias) / averaged
+        self.w, self.bias = mean_w, mean_bias
         raw = self._margin(*self._rows(u, np.arange(n_u)), n_u)
-        values, counts = np.unique(raw, return_counts=True)
-        above = np.cumsum(counts[::-1])[::-1] / n_u
-        k = min(int(np.argmax(above <= self.prior * PRIOR_SLACK)) if (above <= self.prior * PRIOR_SLACK).any() else len(values) - 1, len(values) - 1)
-        self.cut = float(values[k] + values[max(0, k - 1)]) / 2
+        down = np.sort(raw)[::-1]
+        lo, hi = (min(max(1, round(n_u * self.prior * s)), n_u - 1) for s in PRIOR_RANGE)
+        gaps = down[lo - 1 : hi] - down[lo : hi + 1] if n_u > 1 else np.zeros(1)
+        k = lo + int(np.argmax(gaps)) if n_u > 1 else 0
+        self.cut = float(down[max(0, k - 1)] + down[k]) / 2
         self.scale = float(max(1e-6, np.std(raw)))
         return self
 
@@ -111,7 +127,8 @@ class NonNegativePU:
         idx, val, b = data
         s = self.slot[idx]
         kept = np.concatenate(([0], np.cumsum(s > 0)))
-        return s[s > 0], val[s > 0], kept[b]
+        s, val = s[s > 0], val[s > 0]
+        return s, np.where(s <= self.significant, np.minimum(val, MOST), np.minimum(val, COMMON_MOST) / COMMON_UNIT), kept[b]
 
     def score(self, texts) -> np.ndarray:
         out = []
