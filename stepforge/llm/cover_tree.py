@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from stepforge.llm.components import connected_components
-from stepforge.llm.storage import materialize
+from stepforge.llm.storage import hash_sample, materialize
 
 SHARD_ROWS, PIVOTS, SLACK = 4096, 32, 1e-9
 _SMALL = 4096
@@ -197,7 +197,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     ids = good.join(classes.withColumnRenamed("vector", "v2"), F.col("vector") == F.col("v2")).select("__id", "node", "copies")
     ids = materialize(ids, "class-ids")
 
-    sample = classes.orderBy(F.xxhash64("node")).limit(PIVOTS * 32).select("vector").collect()  # bounded: PIVOTS * 32 vectors
+    sample = hash_sample(classes, "node", PIVOTS * 32, ["vector"])
+    wanted = min(PIVOTS, max(1, -(-classes.count() // (SHARD_ROWS * 3 // 4))))
     points: dict[int, list] = {}
     for r in sample:
         v = np.frombuffer(bytes(r["vector"]), np.float64)
@@ -206,7 +207,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     for dim, vs in points.items():  # farthest first
         x = np.stack(vs)
         chosen, far = [0], 2 - 2 * (x @ x[0])
-        while len(chosen) < min(PIVOTS, len(x)):
+        while len(chosen) < min(wanted, len(x)):
             k = int(far.argmax())
             if far[k] <= 1e-12:
                 break
