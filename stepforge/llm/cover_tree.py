@@ -2,7 +2,7 @@
 
 Vectors are scaled to length 1, so cosine >= t means distance <= r = sqrt(2 - 2t). Equal unit vectors are one class from
 the start. Classes are dealt to shards: the nearest of a bounded sample of pivots, and, where that holds more than
-SHARD_ROWS, a hash of the id besides. Each shard gets a cover tree: nested levels whose radii halve from 2, each level's
+SHARD_ROWS, a hash of the id besides. Each shard gets a cover tree: nested levels whose radii halve, each level's
 centres more than its radius apart, each node with its measured covering radius. Shard pairs whose pivots are further
 apart than both radii plus r are dropped; each other pair is one task that walks both trees level by level, dropping node
 pairs by distance > covering radii + r, and ends in exact double-precision cosines. A task returns counts of links for
@@ -23,15 +23,18 @@ from stepforge.llm.components import connected_components
 from stepforge.llm.storage import hash_sample, materialize
 
 SHARD_ROWS, PIVOTS, SLACK = 4096, 32, 1e-9
+#: For bounds in single precision.
+ROOM = 1e-4
 _SMALL = 4096
 
 
 class CoverTree:
     """Levels of nodes over the rows of unit vectors x; rows are reordered so that each node's rows are contiguous."""
 
-    def __init__(self, x: np.ndarray, lowest: float = 0.1):
-        n = len(x)
-        order, radius = np.arange(n), 2.0
+    def __init__(self, x: np.ndarray, reach: float = 0.5):
+        """Radii halve from the first reach * 2^k of at least 2, so that one level's radius is the reach searched for."""
+        n, lowest = len(x), reach / 4
+        order, radius = np.arange(n), reach * 2.0 ** np.ceil(np.log2(2.0 / reach))
         spans = np.array([[0, n]])
         centres = np.array([0] if n else [], int)
         levels = [(spans, centres)]
@@ -79,6 +82,7 @@ def close_pairs(ta: CoverTree, a: np.ndarray, tb: CoverTree, b: np.ndarray, reac
     la = ta.levels + [ta.levels[-1]] * (depth - len(ta.levels))
     lb = tb.levels + [tb.levels[-1]] * (depth - len(tb.levels))
     pairs = (np.zeros(1, int), np.zeros(1, int))
+    a32, b32 = a.astype(np.float32), b.astype(np.float32)
     for k in range(1, depth):
         ca, cb = _children(la[k - 1][0], la[k][0]), _children(lb[k - 1][0], lb[k][0])
         (_, pa, ra), (_, pb, rb) = la[k], lb[k]
@@ -88,13 +92,18 @@ def close_pairs(ta: CoverTree, a: np.ndarray, tb: CoverTree, b: np.ndarray, reac
         size = (ua[:, 1] - ua[:, 0]) * (ub[:, 1] - ub[:, 0])
         for i in np.flatnonzero(size > _SMALL):
             x, y = np.arange(*ua[i]), np.arange(*ub[i])
+            by = b32[pb[y]].T
+            widest = float(rb[y].max())
             for lo in range(0, len(x), 1024):
                 xs = x[lo : lo + 1024]
-                d = 2 - 2 * (a[pa[xs]] @ b[pb[y]].T)
-                bound = reach + ra[xs][:, None] + rb[y][None, :] + SLACK
-                p, q = np.nonzero(d <= bound * bound)
-                out_a.append(xs[p])
-                out_b.append(y[q])
+                dots = a32[pa[xs]] @ by
+                # single precision with room to spare and the widest node of the other side; then each pair's own bound
+                low = 1 - np.minimum(2.0, reach + ra[xs] + widest + ROOM) ** 2 / 2 - ROOM
+                p, q = np.nonzero(dots >= low.astype(np.float32)[:, None])
+                bound = np.minimum(2.0, reach + ra[xs[p]] + rb[y[q]] + ROOM)
+                keep = dots[p, q] >= 1 - bound * bound / 2 - ROOM
+                out_a.append(xs[p[keep]])
+                out_b.append(y[q[keep]])
         small = np.flatnonzero((size <= _SMALL) & (size > 0))
         step = max(1, (1 << 18) // _SMALL)
         for lo in range(0, len(small), step * 16):
@@ -121,12 +130,12 @@ def _unit(raw: np.ndarray) -> np.ndarray:
     return raw / np.sqrt((raw * raw).sum(1))[:, None]
 
 
-def _tree_order(rows: pd.DataFrame) -> bytes:
+def _tree_order(rows: pd.DataFrame, reach: float) -> bytes:
     """Not a format to keep: the shard's tree, pickled for the tasks that read it."""
     import pickle
 
     x = np.stack([np.frombuffer(v, np.float64) for v in rows["vector"]])
-    tree = CoverTree(x)
+    tree = CoverTree(x, reach)
     o = tree.order
     return pickle.dumps((rows["node"].to_numpy()[o], rows["copies"].to_numpy()[o], x[o], tree.levels), protocol=5)
 
@@ -232,14 +241,15 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     parts = fill.select("dim", "pivot", F.ceil(F.col("rows") / F.lit(SHARD_ROWS * 3 // 4)).cast("int").alias("parts"))
     dealt = placed.join(parts, ["dim", "pivot"]).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
 
+    reach = float(np.sqrt(2 - 2 * cosine))
+
     def plant(pdf: pd.DataFrame) -> pd.DataFrame:
         one = pdf.iloc[0]
-        return pd.DataFrame({"dim": [one["dim"]], "pivot": [one["pivot"]], "part": [one["part"]], "radius": [pdf["dist"].max()], "tree": [_tree_order(pdf)]})
+        return pd.DataFrame({"dim": [one["dim"]], "pivot": [one["pivot"]], "part": [one["part"]], "radius": [pdf["dist"].max()], "tree": [_tree_order(pdf, reach)]})
 
     trees = materialize(dealt.groupBy("dim", "pivot", "part").applyInPandas(plant, "dim int, pivot int, part int, radius double, tree binary"), "trees")
     gaps = [(d, i, j, float(np.sqrt(max(0.0, 2 - 2 * p[i] @ p[j])))) for d, p in pivots.items() for i in range(len(p)) for j in range(i, len(p))]  # PIVOTS squared at most a length
     gaps += [(d, -1, -1, 0.0) for d in {r["dim"] for r in fill.select("dim").distinct().collect()} - set(pivots)]
-    reach = float(np.sqrt(2 - 2 * cosine))
     gap = spark.createDataFrame(gaps or [(0, 0, 0, 0.0)], "dim int, pa int, pb int, gap double")
     heads = trees.select("dim", "pivot", "part", "radius")
     left, right = heads.select("dim", F.col("pivot").alias("pa"), F.col("part").alias("ka"), F.col("radius").alias("da")), heads.select("dim", F.col("pivot").alias("pb"), F.col("part").alias("kb"), F.col("radius").alias("db"))
