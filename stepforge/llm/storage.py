@@ -1,6 +1,9 @@
 """Shared-folder tables: lineage is cut by writing Parquet where every executor can read it."""
 
+import atexit
 import ctypes
+import re
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +18,7 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         sc.setCheckpointDir(LOCAL_DEFAULT)
         root = sc.getCheckpointDir()
+        atexit.register(shutil.rmtree, re.sub("^file:/*", "/", root), ignore_errors=True)
     return root.rstrip("/")
 
 
