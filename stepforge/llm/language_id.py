@@ -12,7 +12,6 @@ rows get equal results; ties go to the first language by code point; an empty ta
 import re
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stepforge.llm.storage import bounded_batches, tidy
