@@ -14,7 +14,7 @@ from stepforge.operators import barcodes, pairs, steps
 from stepforge.operators.homology import persistent_homology
 from stepforge.operators.matrices import DistanceMatrix, SymmetricMatrix, stack_matrices
 from stepforge.sources.construct import point_clouds, stack
-from stepforge.tensor import Tensor, allclose, axes, cells, from_points, to_points  # noqa: F401
+from stepforge.tensor import Tensor, allclose, axes, from_points, to_points  # noqa: F401
 
 
 def _number(x: Tensor) -> str:

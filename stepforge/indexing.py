@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stepforge.tensor import Tensor, axes, flat_index, from_points  # noqa: F401
+from stepforge.tensor import Tensor, axes, flat_index
 
 
 def _is_mask(k) -> bool:

@@ -12,7 +12,7 @@ from stepforge import api
 from stepforge.functions.numeric import INF
 from stepforge.operators import barcodes, homology, matrices, pairs, steps
 from stepforge.sources import construct, random as rnd, storage
-from stepforge.tensor import Tensor, allclose, axes, cells, from_points, to_points
+from stepforge.tensor import Tensor, allclose, cells, from_points, to_points
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
