@@ -13,7 +13,7 @@ _N = "0-9" + "".join(map(chr, (0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE)))
 _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\\s{_L}{_N}]+")
 #: Characters that regular expression engines may or may not take for white space.
 _DOUBTFUL = re.compile("[" + "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0xA0))) + "]")
-CACHE = 200_000
+CACHE = 300_000
 
 
 class ChunkTokenizer:
