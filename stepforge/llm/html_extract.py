@@ -2,9 +2,9 @@
 
 Pages are put in order of (host, path) over ranges of that order, so that a large host fills many ranges. Each page is
 paired with its nearest neighbours of the same host; the text lines (blocks) of both are aligned by longest common
-subsequence and shared lines are deleted as the site's template. Two things limit the deletion: lines within a declared
-<article> or <main> are the page's own text whatever else holds them, and neighbours that share most of their text are
-copies of one another, from which nothing follows. Elements that HTML itself or their class or id names as menus, headers,
+subsequence and shared lines are deleted as the site's template. A declared <article> or <main> is a prior, no more: a line
+within it goes if two neighbours hold it, a line outside stays if a neighbour was met and none holds it. Neighbours that
+share most of their text are copies of one another, from which nothing follows. Elements that HTML itself or their class or id names as menus, headers,
 footers, sidebars, notices, adverts, forms, comments, scripts or styles are left out before pairs are aligned.
 
 Defined cases: null or empty html gives empty text; broken markup is read as far as it goes (an end tag closes what is open
@@ -17,6 +17,7 @@ import re
 
 from bisect import bisect_left
 from html import unescape
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -142,18 +143,42 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
+class Page(NamedTuple):
+    """A page's lines as pairs are aligned: keys (texts or their hashes), sizes in characters, declared."""
+
+    keys: list
+    sizes: list[int]
+    declared: list[bool]
+
+
+def as_page(lines: list[tuple[str, bool]]) -> Page:
+    return Page([t for t, _ in lines], [len(t) for t, _ in lines], [d for _, d in lines])
+
+
+def copies(a: Page, b: Page, got: set[int]) -> bool:
+    """Whether a and b, which share the lines got of a, are copies: most of the longer text is shared, or all of the shorter."""
+    short, long = sorted((sum(a.sizes), sum(b.sizes)))
+    return sum(a.sizes[i] for i in got) >= min(short, COPY_SHARE * long)
+
+
+def kept(page: Page, neighbours: list[Page]) -> list[int]:
+    """Positions of the lines that are main text. Lines shared with a neighbour go; a declared line goes only if two
+    neighbours hold it that aren't copies of one another, and a line outside what is declared stays only if a neighbour
+    was there to tell it from the template."""
+    near = [(o, got) for o in neighbours for got in [common_lines(page.keys, o.keys)] if not copies(page, o, got)]
+    shared = set().union(*(got for _, got in near))
+    twice: set[int] = set()
+    if len(near) == 2:
+        (p, a), (q, b) = near
+        twice = {i for i in a & b if page.declared[i]}
+        if twice and copies(p, q, common_lines(p.keys, q.keys)):
+            twice = set()
+    told = bool(near) or not any(page.declared)
+    return [i for i, d in enumerate(page.declared) if (i not in twice if d else told and i not in shared)]
+
+
 def main_text(page: list[tuple[str, bool]], neighbours: list[list[tuple[str, bool]]]) -> str:
-    """The page's lines without those shared with its neighbours; declared lines stay, and where any line is declared only those are main text."""
-    lines = [t for t, _ in page]
-    shared: set[int] = set()
-    if any(not d for _, d in page):
-        size = sum(map(len, lines))
-        for other in neighbours:
-            got = common_lines(lines, [t for t, _ in other])
-            if sum(len(lines[i]) for i in got) < COPY_SHARE * max(1, min(size, sum(len(t) for t, _ in other))):
-                shared |= got
-    declared = any(d for _, d in page)
-    return "\n".join(t for i, (t, d) in enumerate(page) if (d if declared else i not in shared))
+    return "\n".join(page[i][0] for i in kept(as_page(page), [as_page(n) for n in neighbours]))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -363,6 +363,15 @@ def test_shared_lines_go_and_copies_stay(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_differencing_decides_inside_and_outside_articles():
+    page = lambda k: html_extract.blocks(f"<div>Site name here</div><article><p>Read in our app</p><p>{f'story {k} ' * 9}</p></article><div>{f'post {k} below ' * 9}</div>")
+    own = lambda k: f"{f'story {k} ' * 9}".strip() + "\n" + f"{f'post {k} below ' * 9}".strip()
+    assert html_extract.main_text(page(1), [page(2), page(3)]) == own(1)
+    assert html_extract.main_text(page(1), [page(2)]) == "Read in our app\n" + own(1)  # one neighbour is too little against the tag
+    assert html_extract.main_text(page(1), [page(2), page(2)]) == "Read in our app\n" + own(1)
+    assert html_extract.main_text(page(1), []) == "Read in our app\n" + own(1).split("\n")[0]
+
+
 def test_common_lines_are_a_longest_common_subsequence():
     rng = random.Random(12)
     for _ in range(100):
