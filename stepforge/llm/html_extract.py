@@ -1,7 +1,9 @@
 """Main text of pages: markup to blocks, then nearest-URL page differencing.
 
-Pages are put in order of (host, path) over ranges of that order, so that a large host fills many ranges. Each page is
-paired with its nearest neighbours of the same host; the text lines (blocks) of both are aligned by longest common
+Pages are put in order of (host, path) over ranges of that order, so that a large host fills many ranges; only hashes and
+sizes of lines are moved for it. Pages that are copies of the page before them form a run with it. Each page is paired with
+the nearest dissimilar page on either side, looked for at the edges of other runs of the same host, at most LOOK of them,
+within its range and beyond: which pages meet doesn't depend on the ranges. The text lines (blocks) of both are aligned by longest common
 subsequence and shared lines are deleted as the site's template. A declared <article> or <main> is a prior, no more: a line
 within it goes if two neighbours hold it, a line outside stays if a neighbour was met and none holds it. Neighbours that
 share most of their text are copies of one another, from which nothing follows. Elements that HTML itself or their class or id names as menus, headers,
@@ -9,22 +11,27 @@ footers, sidebars, notices, adverts, forms, comments, scripts or styles are left
 
 Defined cases: null or empty html gives empty text; broken markup is read as far as it goes (an end tag closes what is open
 inside it, unclosed elements end with the page); null urls are one host without neighbours' deletions; repeated rows are
-copies; an empty table gives no rows; extra columns are ignored. Which neighbour a page at the edge of a range meets
-depends on the ranges.
+copies; an empty table gives no rows; extra columns are ignored. A host whose
+pages are all copies of the page before them has no neighbours, and its pages keep their lines.
 """
 
+import pickle
 import re
 
 from bisect import bisect_left
+from collections import deque
+from hashlib import blake2b
 from html import unescape
 from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from stepforge.llm.storage import bounded_batches
+from stepforge.llm.storage import bounded_batches, materialize, tidy
 
 COPY_SHARE = 0.6
+#: Runs of copies that a page looks at on either side for a dissimilar page.
+LOOK = 16
 
 # Fixed values of HTML: element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -181,38 +188,145 @@ def main_text(page: list[tuple[str, bool]], neighbours: list[list[tuple[str, boo
     return "\n".join(page[i][0] for i in kept(as_page(page), [as_page(n) for n in neighbours]))
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars: one row for each row of pages."""
+class Edges(NamedTuple):
+    """What other ranges need of a range: its first and last page, and where runs of copies begin (from the front) and end
+    (from the back) within the host of that page."""
+
+    first: tuple[str, Page]
+    last: tuple[str, Page]
+    whole: bool  # all of one host
+    starts: list[Page]
+    ends: list[Page]
+
+
+def _alike(a: Page, b: Page) -> bool:
+    return copies(a, b, common_lines(a.keys, b.keys))
+
+
+def _rows(pdf: pd.DataFrame) -> list[tuple]:
+    """(host, page, key, second key) in order, repeated rows once."""
+    out: list[tuple] = []
+    for h, k, k2, keys, sizes, declared in pdf.sort_values("__pos")[["__host", "__k", "__k2", "keys", "sizes", "declared"]].itertuples(index=False, name=None):
+        if not out or out[-1][2:] != (k, k2):
+            out.append((h, Page([int(x) for x in keys], [int(x) for x in sizes], [bool(x) for x in declared]), k, k2))
+    return out
+
+
+def edges_of(rows: list[tuple]) -> Edges:
+    n, starts, ends = len(rows), [], []
+    for j in range(1, n):
+        if rows[j][0] != rows[0][0] or len(starts) == LOOK:
+            break
+        if not _alike(rows[j - 1][1], rows[j][1]):
+            starts.append(rows[j][1])
+    for j in range(n - 2, -1, -1):
+        if rows[j][0] != rows[-1][0] or len(ends) == LOOK:
+            break
+        if not _alike(rows[j][1], rows[j + 1][1]):
+            ends.append(rows[j][1])
+    return Edges(rows[0][:2], rows[-1][:2], rows[0][0] == rows[-1][0], starts, ends)
+
+
+def beyond(at: int, edges: list[Edges], back: bool) -> list[Page]:
+    """The ends of runs before range `at` (back), or the starts of runs after it, of the host at its edge; nearest first."""
+    out: list[Page] = []
+    host, page = edges[at].first if back else edges[at].last
+    for e in reversed(edges[:at]) if back else edges[at + 1 :]:
+        near, far = (e.last, e.first) if back else (e.first, e.last)
+        if near[0] != host or len(out) >= LOOK:
+            break
+        if not _alike(near[1], page):
+            out.append(near[1])
+        out += e.ends if back else e.starts
+        if not e.whole:
+            break
+        page = far[1]
+    return out[:LOOK]
+
+
+def decide(rows: list[tuple], before: list[Page], after: list[Page]) -> list[list[int]]:
+    """The positions kept of each page of a range."""
+    n = len(rows)
+    same = [False] + [rows[j][0] == rows[j - 1][0] for j in range(1, n)]
+    new = [same[j] and not _alike(rows[j - 1][1], rows[j][1]) for j in range(n)]
+
+    def dissimilar(page, runs):
+        return next((p for p in runs if not _alike(page, p)), None)
+
+    near: list[list] = [[None, None] for _ in rows]
+    runs = deque(before, LOOK)  # nearest first
+    for j in range(n):
+        if j and not same[j]:
+            runs.clear()
+        elif new[j]:
+            runs.appendleft(rows[j - 1][1])
+        near[j][0] = dissimilar(rows[j][1], runs)
+    runs = deque(after, LOOK)
+    for j in range(n - 1, -1, -1):
+        if j < n - 1:
+            if not same[j + 1]:
+                runs.clear()
+            elif new[j + 1]:
+                runs.appendleft(rows[j + 1][1])
+        near[j][1] = dissimilar(rows[j][1], runs)
+    return [kept(r[1], [p for p in pair if p is not None]) for r, pair in zip(rows, near, strict=True)]
+
+
+def _line_frames(frames):
+    """Pages as hashes and sizes of their lines; those without a host or a line have no neighbours."""
+    for pdf in frames:
+        out = []
+        for p, h, host, path, k, k2 in zip(pdf["page_id"], pdf["html"], pdf["__host"], pdf["__path"], pdf["__k"], pdf["__k2"], strict=True):
+            lines = blocks(h) if host and isinstance(h, str) else []
+            if lines:
+                keys = [int.from_bytes(blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) for t, _ in lines]
+                out.append((None if pd.isna(p) else int(p), host, path, k, k2, keys, [len(t) for t, _ in lines], [d for _, d in lines]))
+        yield pd.DataFrame(out, columns=["page_id", "__host", "__path", "__k", "__k2", "keys", "sizes", "declared"]).astype({"page_id": "Int64", "__k": "int64", "__k2": "int64"})
+
+
+def decisions(keyed: DataFrame, ranges: int) -> DataFrame:
+    """(__k, __k2, keep): the positions of the lines that stay, for each distinct row that has a host and a line."""
+    spark = keyed.sparkSession
+    schema = "page_id long, __host string, __path string, __k long, __k2 long, keys array<long>, sizes array<int>, declared array<boolean>"
+    lines = materialize(keyed.select("page_id", "html", "__host", "__path", "__k", "__k2").mapInPandas(tidy(_line_frames), schema), "page-lines")
+    order = ["__host", "__path", "page_id", "__k", "__k2"]
+    placed = lines.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("__pos", F.monotonically_increasing_id())
+    placed = materialize(placed.withColumn("__part", F.shiftright("__pos", 33)).drop("page_id", "__path"), "page-order")
+    grouped = placed.repartition(ranges, "__part").groupBy("__part")
+
+    def edge_frame(pdf):
+        return pd.DataFrame({"part": [int(pdf["__part"].iloc[0])], "edges": [pickle.dumps(edges_of(_rows(pdf)))]})
+
+    found = sorted(grouped.applyInPandas(edge_frame, "part long, edges binary").collect())
+    at = {r["part"]: i for i, r in enumerate(found)}
+    shared = spark.sparkContext.broadcast([bytes(r["edges"]) for r in found])
+
+    def keep_frame(pdf):
+        rows, edges = _rows(pdf), [pickle.loads(e) for e in shared.value]
+        i = at[int(pdf["__part"].iloc[0])]
+        keep = decide(rows, beyond(i, edges, True), beyond(i, edges, False))
+        return pd.DataFrame({"__k": [r[2] for r in rows], "__k2": [r[3] for r in rows], "keep": keep})
+
+    return grouped.applyInPandas(keep_frame, "__k long, __k2 long, keep array<int>")
+
+
+def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
+    """page_id, url, text, n_chars: one row for each row of pages. The result doesn't depend on the number of ranges."""
     url = F.coalesce("url", F.lit(""))
-    keyed = pages.select("page_id", "url", "html", F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)).alias("__host"), F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1).alias("__path"))
-    ordered = bounded_batches(keyed).repartitionByRange("__host", "__path", "page_id").sortWithinPartitions("__host", "__path", "page_id")
+    keyed = pages.select(
+        "page_id", "url", "html", F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)).alias("__host"), F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1).alias("__path"),
+        F.xxhash64("page_id", "url", "html").alias("__k"), F.xxhash64(F.lit(4), "html", "url", "page_id").alias("__k2"),
+    )
+    keyed = bounded_batches(keyed)
+    keep = decisions(keyed, ranges or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    joined = keyed.drop("__host", "__path").join(keep.hint("shuffle_hash"), ["__k", "__k2"], "left").select("page_id", "url", "html", "keep")
 
     def run(frames):
-        rows, done = [], []  # a page waits for its next neighbour and keeps its previous one
-
-        def settle(last: bool):
-            while len(rows) > 1 or (last and rows):
-                head = rows[0]
-                near = [r for r in (head[4], rows[1] if len(rows) > 1 else None) if r is not None and r[2] and r[2] == head[2]]
-                t = main_text(head[3], [r[3] for r in near])
-                done.append((head[0], head[1], t, len(t)))
-                if len(rows) > 1:
-                    rows[1][4] = [*head[:4], None]
-                rows.pop(0)
-
-        def frame():
-            out = pd.DataFrame(done, columns=["page_id", "url", "text", "n_chars"])
-            done.clear()
-            return out.astype({"page_id": "Int64", "n_chars": "int64"})
-
         for pdf in frames:
-            for p, u, h, host in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["__host"], strict=True):
-                rows.append([None if pd.isna(p) else int(p), u, host, blocks(h) if isinstance(h, str) else [], None])
-                settle(False)
-                if len(done) >= 1000:
-                    yield frame()
-        settle(True)
-        if done:
-            yield frame()
-
-    return ordered.drop("__path").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+            texts = []
+            for h, k in zip(pdf["html"], pdf["keep"], strict=True):
+                lines = blocks(h) if isinstance(h, str) else []
+                texts.append(main_text(lines, []) if k is None else "\n".join(lines[i][0] for i in k))
+            yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": texts, "n_chars": pd.Series([len(t) for t in texts], dtype="int64")})
+
+    return joined.mapInPandas(tidy(run), "page_id long, url string, text string, n_chars long")

@@ -372,6 +372,18 @@ def test_differencing_decides_inside_and_outside_articles():
     assert html_extract.main_text(page(1), []) == "Read in our app\n" + own(1).split("\n")[0]
 
 
+def test_neighbours_beyond_copies_whatever_the_ranges(spark):
+    page = lambda body: f"<div>Site name here</div><p>{body}</p><div>All rights reserved by nobody</div>"
+    body = {k: f"one text for many pages {'again ' * 20}".strip() if 1 <= k <= 60 else f"page {k} " * 12 for k in range(64)}
+    body[30] += " edited"  # a near copy splits the run
+    rows = [(k, f"http://h.x/{k:03}", page(body[k])) for k in range(64)] + [(90, "http://two.x/1", page("first " * 20)), (91, "http://two.x/2", page("second " * 20)), (7, "http://h.x/007", page(body[7]))]
+    rows += [(100, "http://s.x/1", page("short")), (101, "http://s.x/2", page("brief")), (102, "http://s.x/3", page("a long page " * 30))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted((k, b.strip()) for k, b in [*body.items(), (7, body[7]), (90, "first " * 20), (91, "second " * 20), (100, "short"), (101, "brief"), (102, "a long page " * 30)])
+    for ranges in (1, 3, 40):
+        assert sorted((r["page_id"], r["text"]) for r in html_extract.extract(df, ranges).collect()) == want
+
+
 def test_common_lines_are_a_longest_common_subsequence():
     rng = random.Random(12)
     for _ in range(100):
