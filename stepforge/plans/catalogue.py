@@ -370,12 +370,12 @@ def bar_order_top(spark, d):
 
 # ---- homology ----------------------------------------------------------------------------------------------------------
 
-def _clouds(spark, d, points: int | None = None) -> Tensor:
+def _clouds(spark, d) -> Tensor:
     """One cloud for each label of embeddings."""
     e = _read(spark, d, "embeddings")
     ranks = construct.rank_axis(e, "label")
     x = F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda s: s["embedding"].cast("array<double>"))
-    df = e.join(ranks, "label").groupBy("i0").agg((F.slice(x, 1, points) if points else x).alias("x"))
+    df = e.join(ranks, "label").groupBy("i0").agg(x.alias("x"))
     return Tensor(df, (ranks.count(),), "pcloud64")
 
 
@@ -388,9 +388,8 @@ def rips_h0(spark, d):
 
 @query()
 def rips_h1_stable_rank(spark, d):
-    """Clouds to barcodes to stable ranks in dimensions 0 and 1: the whole pipeline, on clouds of 30 points as a cloud's
-    size is a parameter of the analysis."""
-    h = homology.persistent_homology(_clouds(spark, d, 30), max_dim=1)
+    """Clouds to barcodes to stable ranks in dimensions 0 and 1: the whole pipeline, on each label's whole cloud."""
+    h = homology.persistent_homology(_clouds(spark, d), max_dim=1)
     return to_points(api.barcode_to_stable_rank(h)).select("i0", "i1", _r("t"), "v")
 
 

@@ -121,3 +121,36 @@ def test_clouds_to_distances_end_to_end(spark):
     assert h.shape == (5, 2)
     d = api.pdist(api.barcode_to_stable_rank(h)[:, 1]).to_numpy()
     assert d.shape == (5, 5) and np.allclose(d, d.T) and (np.diag(d) == 0).all()
+
+
+def test_rips_h1_query_takes_whole_clouds(spark, tmp_path):
+    from itertools import combinations
+
+    from stepforge.plans import catalogue
+
+    rng = np.random.default_rng(5)
+    clouds = [rng.normal(size=(34, 2)).astype("float32"), rng.normal(size=(3, 2)).astype("float32")]
+    rows = [(100 * k + i, k, [float(c) for c in p]) for k, x in enumerate(clouds) for i, p in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r["i0"], r["i1"], r["t"]): r["v"] for r in catalogue.QUERIES["rips_h1_stable_rank"](spark, str(tmp_path)).collect()}
+    want = {}
+    for k, x in enumerate(clouds):
+        x = x.astype(float)
+        dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+        size = lambda s: max((dist[a, b] for a, b in combinations(s, 2)), default=0.0)
+        order = sorted((s for m in (1, 2, 3) for s in combinations(range(len(x)), m)), key=lambda s: (size(s), len(s), s))
+        at, low, ends = {s: n for n, s in enumerate(order)}, {}, {}
+        for n, s in enumerate(order):  # columns of the boundary matrix, by addition from the left
+            col = {at[f] for f in combinations(s, len(s) - 1)} if len(s) > 1 else set()
+            while col and max(col) in low:
+                col ^= low[max(col)]
+            if col:
+                low[max(col)] = col
+                ends[max(col)] = n
+        for dim in (0, 1):
+            born = [n for n, s in enumerate(order) if len(s) == dim + 1 and n not in ends.values()]
+            lengths = [size(order[ends[n]]) - size(order[n]) if n in ends else float("inf") for n in born]
+            lengths = [v for v in lengths if v > 0]
+            for t in [0.0, *(v for v in lengths if v < float("inf"))]:
+                want[k, dim, round(t, 6)] = float(sum(v > t for v in lengths))
+    assert got == want
