@@ -143,6 +143,13 @@ def eval_many_times(spark, d):
     return steps.evaluate_at(user_points(spark, d).where("i0 < 3"), ["i0"], times).select("k", "v")
 
 
+@query()
+def eval_many_times_all(spark, d):
+    """All users at the times of eval_many_times, which its SQL holds to three users."""
+    times = spark.range(11000).select(F.col("id").alias("k"), (F.col("id") * 0.003).alias("time"))
+    return steps.evaluate_at(user_points(spark, d), ["i0"], times).select("i0", "k", "v")
+
+
 _PAIR = f"WITH {_USERS}, f AS (SELECT i0 // 2 AS i0, l, r, v FROM s WHERE i0 % 2 = 0), g AS (SELECT i0 // 2 AS i0, l, r, v FROM s WHERE i0 % 2 = 1)"
 
 
@@ -534,6 +541,15 @@ def matrix_tensor_cells(spark, d):
     return matrices.matrix_cells(matrices.stack_matrices([m])).select("i0", "i", "j", _r("v"))
 
 
+@query(_pair_sql(f"round(sum({_W} * abs(f.v - g.v)), 6) AS v", "f.i0 > g.i0").replace("f.i0 AS i, g.i0 AS j,", "0::BIGINT AS i0, f.i0 AS i, g.i0 AS j,"))
+def matrix_tensor_cells_all(spark, d):
+    """matrix_tensor_cells over all users; its SQL holds it to twenty."""
+    p = user_points(spark, d)
+    n = p.select("i0").distinct().count()
+    m = matrices.DistanceMatrix.from_dense(matrices.DistanceMatrix(pairs.pdist(p), n).to_dense(), n)
+    return matrices.matrix_cells(matrices.stack_matrices([m])).select("i0", "i", "j", _r("v"))
+
+
 @query(f"WITH {_GRID} SELECT i0, i1, x FROM g")
 def save_load(spark, d):
     """A tensor saved and loaded."""

@@ -53,3 +53,36 @@ def test_nothing_else_imports_the_corpus_operators():
     for p in (ROOT / "stepforge").rglob("*.py"):
         if "llm" not in p.parts:
             assert "stepforge.llm" not in p.read_text()
+
+
+def small_events(spark, tmp_path, users=25):
+    import datetime
+    import random
+
+    rng, start = random.Random(31), datetime.datetime(2024, 1, 1)
+    rows = [(n, 7 * (n % users), start + datetime.timedelta(seconds=rng.randrange(30 * 86400)), "ab"[n % 2], float(rng.randrange(1, 9))) for n in range(8 * users)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    functions = {}
+    for u in sorted({r[1] for r in rows}):
+        own = sorted((r[2], r[0], r[4]) for r in rows if r[1] == u)
+        functions[len(functions)] = [((t - own[0][0]).total_seconds() / 86400, 0.0 if k == len(own) - 1 else v) for k, (t, _, v) in enumerate(own)]
+    return functions
+
+
+def value_at(points, t):
+    return [v for at, v in points if at <= t][-1]
+
+
+def pair_integral(f, g, op):
+    cuts = sorted({t for t, _ in (*f, *g)})
+    return sum((b - a) * op(value_at(f, a), value_at(g, a)) for a, b in zip(cuts, cuts[1:], strict=False))
+
+
+def test_all_users_at_many_times_and_in_matrices(spark, tmp_path):
+    f = small_events(spark, tmp_path)
+    got = catalogue.QUERIES["eval_many_times_all"](spark, str(tmp_path)).toPandas()
+    assert len(got) == 25 * 11000 and not got.duplicated(["i0", "k"]).any()
+    assert all(value_at(f[r.i0], r.k * 0.003) == r.v for r in got[got["k"] % 97 == 0].itertuples())
+    cells = {(r["i"], r["j"]): r["v"] for r in catalogue.QUERIES["matrix_tensor_cells_all"](spark, str(tmp_path)).collect()}
+    assert set(cells) == {(i, j) for i in range(25) for j in range(i)}
+    assert all(abs(v - pair_integral(f[i], f[j], lambda x, y: abs(x - y))) < 1e-5 for (i, j), v in cells.items())
