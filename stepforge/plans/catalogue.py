@@ -322,6 +322,21 @@ def l2_cross_kernel(spark, d):
     return pairs.l2_cross_kernel(p.where(F.col("i0") % 10 == 0), p.where(F.col("i0") % 10 == 1)).select("i", "j", _r("k", digits=4))
 
 
+@query(_pair_sql(f"round(sum({_W} * abs(f.v - g.v)), 6) AS d", "f.i0 % 2 = 0 AND g.i0 % 2 = 1").replace("f.i0 AS i, g.i0 AS j", "f.i0 // 2 AS i0, g.i0 // 2 AS j0"))
+def cdist_l1_all(spark, d):
+    """Users of even rank against those of odd rank: every user takes part."""
+    p = user_points(spark, d)
+    part = lambda k: p.where(F.col("i0") % 2 == k).withColumn("i0", F.floor(F.col("i0") / 2))
+    return pairs.cdist(part(0), part(1), ["i0"], ["i0"]).select("i0", "j0", _r("d"))
+
+
+@query(_pair_sql(f"round(sum({_W} * f.v * g.v), 4) AS k", "f.i0 % 2 = 0 AND g.i0 % 2 = 1"))
+def l2_cross_kernel_all(spark, d):
+    """Users of even rank against those of odd rank."""
+    p = user_points(spark, d)
+    return pairs.l2_cross_kernel(p.where(F.col("i0") % 2 == 0), p.where(F.col("i0") % 2 == 1)).select("i", "j", _r("k", digits=4))
+
+
 @query(_pair_sql("round(sum((least(f.r, g.r, 20) - greatest(f.l, g.l, 5)) * least(f.v, g.v)), 6) AS d", "f.i0 < g.i0", "WHERE least(f.r, g.r, 20) > greatest(f.l, g.l, 5)"))
 def integrate_minimum(spark, d):
     """A pair integral of one's own: the smaller of both, over [5, 20)."""
