@@ -376,9 +376,11 @@ _bar_query("apf_max_death", barcodes.accumulated_persistence, _APF + " AND death
 
 @query(f"WITH {_bars_sql()}, x AS (SELECT birth, death FROM b WHERE o_orderpriority = '1-URGENT') SELECT true AS same, (SELECT count(*) FROM (SELECT birth, death + 1 FROM x EXCEPT ALL SELECT * FROM x)) = 0 AS moved")
 def barcode_isomorphic(spark, d):
-    b = bars(spark, d).where("o_orderpriority = '1-URGENT'").select("birth", "death")
+    """Every priority's barcode against itself in another order, and against itself with deaths moved."""
+    b = bars(spark, d)
     moved = b.withColumn("death", F.col("death") + 1)
-    return spark.createDataFrame([(barcodes.is_isomorphic(b, b.orderBy(F.desc("death"))), barcodes.is_isomorphic(b, moved))], "same boolean, moved boolean")
+    keys = ["o_orderpriority"]
+    return spark.createDataFrame([(barcodes.is_isomorphic(b, b.orderBy(F.desc("death")), keys), barcodes.is_isomorphic(b, moved, keys))], "same boolean, moved boolean")
 
 
 @query(f"WITH {_bars_sql()} SELECT row_number() OVER (ORDER BY birth DESC, death - birth DESC) AS n, birth, death FROM b ORDER BY n LIMIT 100")

@@ -95,3 +95,17 @@ def test_cross_pairs_of_all_users(spark, tmp_path):
     assert set(d) == set(k) == {(i, j) for i in range(0, 25, 2) for j in range(1, 25, 2)}
     assert all(abs(v - pair_integral(f[i], f[j], lambda x, y: abs(x - y))) < 1e-5 for (i, j), v in d.items())
     assert all(abs(v - pair_integral(f[i], f[j], lambda x, y: x * y)) < 1e-3 for (i, j), v in k.items())
+
+
+def small_bars(spark, tmp_path):
+    import datetime
+
+    day = lambda k: datetime.date(2024, 1, 1) + datetime.timedelta(days=k)
+    spark.createDataFrame([(k, f"{k % 4 + 2}-OTHER", day(k % 9)) for k in range(90)], "o_orderkey long, o_orderpriority string, o_orderdate date").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k, day(k % 9 + 1 + k % 13 + n), "OF"[n]) for k in range(90) for n in range(2)], "l_orderkey long, l_shipdate date, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    return sorted(((float((day(k % 9) - day(0)).days), float(1 + k % 13 + n)) for k in range(90) for n in range(2)), reverse=True)
+
+
+def test_isomorphism_reads_all_priorities(spark, tmp_path):
+    small_bars(spark, tmp_path)
+    assert [tuple(r) for r in catalogue.QUERIES["barcode_isomorphic"](spark, str(tmp_path)).collect()] == [(True, False)]
