@@ -392,6 +392,13 @@ def bar_order_top(spark, d):
     return top.withColumn("n", F.row_number().over(Window.orderBy(F.desc("birth"), F.desc(F.col("death") - F.col("birth"))))).select("n", "birth", "death")
 
 
+@query(f"WITH {_bars_sql()} SELECT row_number() OVER (ORDER BY birth DESC, death - birth DESC) AS n, birth, death FROM b")
+def bar_order(spark, d):
+    """The rank of every bar in drawing order."""
+    b = bars(spark, d).select((-F.col("birth")).alias("__b"), (F.col("birth") - F.col("death")).alias("__l"), "birth", "death")
+    return construct.numbered(b, ["__b", "__l"], "n").select((F.col("n") + 1).alias("n"), "birth", "death")
+
+
 # ---- homology ----------------------------------------------------------------------------------------------------------
 
 def _clouds(spark, d) -> Tensor:

@@ -109,3 +109,12 @@ def small_bars(spark, tmp_path):
 def test_isomorphism_reads_all_priorities(spark, tmp_path):
     small_bars(spark, tmp_path)
     assert [tuple(r) for r in catalogue.QUERIES["barcode_isomorphic"](spark, str(tmp_path)).collect()] == [(True, False)]
+
+
+def test_every_bar_has_its_rank(spark, tmp_path, monkeypatch):
+    want = small_bars(spark, tmp_path)
+    for rows in (1_000_000, 50):  # in one range and in several
+        monkeypatch.setattr("stepforge.sources.construct.NUMBERED_ROWS", rows)
+        got = sorted((r["n"], r["birth"], r["death"]) for r in catalogue.QUERIES["bar_order"](spark, str(tmp_path)).collect())
+        assert [n for n, _, _ in got] == list(range(1, 181))
+        assert [(b - got[-1][1], e - b) for _, b, e in got] == want
