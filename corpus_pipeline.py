@@ -10,11 +10,23 @@ from stepforge.llm import language_id, line_dedup, minhash_dedup, mixing, packin
 from stepforge.llm.queries import tokenizer_path
 from stepforge.llm.storage import bounded_broadcast, materialize, new_path
 
+#: A document's best language has to reach this share of the way from an even guess (1 / languages) to certainty.
+LEAST_SHARE = 0.1
+
+
+def least_score(languages: int) -> float:
+    """The bound on the pooled score; a single language is always certain, its bound a little less for rounding."""
+    return 1 / languages + LEAST_SHARE * (1 - 1 / languages) - 1e-6
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: documents whose language can't be told (no text, no letter) go; the others stay whatever their lang says."""
-    done = language_id.predict(docs, language_id.train(docs), docs.columns)
-    return done.where(F.col("__pred") != language_id.UNDETERMINED).select(docs.columns)
+    """Operator 5: documents whose language can't be told go: those without a letter, and those whose best pooled score is
+    under least_score. The others stay whatever their lang says; without a model all documents with a letter do."""
+    model = language_id.train(docs)
+    if model is None:
+        return docs.where(F.rlike("text", F.lit(r"\p{L}")))
+    done = language_id.predict(docs, model, docs.columns)
+    return done.where((F.col("__pred") != language_id.UNDETERMINED) & (F.col("__score") >= least_score(len(model.languages)))).select(docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,3 +55,17 @@ def test_empty_documents(spark, sf_dir, tmp_path):
         stage(spark, docs, sf_dir).write.parquet(f"{tmp_path}/{k}")
         docs = spark.read.parquet(f"{tmp_path}/{k}")
         assert docs.count() == 0
+
+
+def test_language_scores_decide(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    ids = lambda d: {r[0] for r in d.select("doc_id").collect()}
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert ids(corpus_pipeline.identify_language(spark, unlabelled, sf_dir)) == ids(docs) - {300, 301, 302}
+    sure = corpus_pipeline.language_id.predict
+
+    def torn(*args):
+        return sure(*args).withColumn("__score", F.when(F.col("doc_id") == 5, 0.52).otherwise(F.col("__score")))
+
+    monkeypatch.setattr(corpus_pipeline.language_id, "predict", torn)
+    assert ids(corpus_pipeline.identify_language(spark, docs, sf_dir)) == ids(docs) - {5, 300, 301, 302}
