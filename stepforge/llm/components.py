@@ -2,34 +2,58 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from stepforge.llm.storage import materialize
+from stepforge.llm.storage import discard, materialize
 
+#: Keys with more rows than HOT_ROWS and more than a MOST_HOT-th of all rows are hot; there are fewer than MOST_HOT.
+HOT_ROWS, MOST_HOT = 50_000, 10_000
 
-def _large_star(e: DataFrame) -> DataFrame:
+
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """left joined with right, which has one row a key and, in column `size`, about how many of the `total` rows of left have
+    it. Rows of hot keys, fewer than MOST_HOT keys whatever the tables, meet theirs by broadcast, so no task gets one key
+    with a share of all rows; the others are dealt by key. Both sides are read more than once: written tables do best."""
+    limit = max(HOT_ROWS, total // MOST_HOT)
+    hot = right.where(F.col(size) > limit)
+    if hot.isEmpty():
+        return left.join(right, keys)
+    cold = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(F.col(size) <= limit), keys)
+    return left.join(F.broadcast(hot), keys).unionByName(cold)
+
+
+def _with_lowest(e: DataFrame, rows: int) -> DataFrame:
+    """e with m, the lowest v of each u. A hub, which may be an end of most edges, doesn't gather in one task."""
+    low = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    if rows <= HOT_ROWS:
+        return e.join(low.drop("n"), "u")
+    low = materialize(low, "lowest")
+    return hot_join(e, low, ["u"], "n", rows).drop("n")
+
+
+def _large_star(e: DataFrame, rows: int) -> DataFrame:
     both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_lowest(both, 2 * rows).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, rows: int) -> DataFrame:
     down = e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
-    joined = down.join(low, "u")
+    joined = _with_lowest(down, rows)
     rest = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return rest.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    return rest.union(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
 def connected_components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
     """(node, component) for every node with an edge to another node; component is the smallest node reachable.
-    Rounds are O(log^2 n); each is written to the shared folder, so a lost executor costs one round at most.
-    Null ends and loops are ignored; no edges: no rows."""
+    Rounds are O(log^2 n); each is written to the shared folder, so a lost executor costs one round at most, and the one before
+    is deleted. Null ends and loops are ignored; no edges: no rows."""
     e = materialize(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
-    mark = None
-    while True:
-        e2 = materialize(_small_star(_large_star(e)), "edges")
+    rows, mark = e.count(), None
+    while rows:
+        half = _large_star(e, rows)
+        e2 = materialize(_small_star(materialize(half, "large-star") if rows > HOT_ROWS else half, rows), "edges")
+        discard(e)
         now = tuple(e2.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        e = e2
-        if now == mark or not now[0]:
+        e, rows = e2, now[0]
+        if now == mark:
             break
         mark = now
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))

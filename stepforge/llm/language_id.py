@@ -3,24 +3,27 @@
 Every byte of every text is read: a text's UTF-8 bytes are cut into windows of WINDOW bytes, each read in both directions,
 each position gets language probabilities, and a document's probabilities are the mean over its positions. The network is
 fitted on the driver on windows of at most SAMPLE_PER_LANGUAGE documents for each language (SAMPLE_CHARS characters of
-each), the documents with the smallest hashes of their ids; this bound does not depend on the size of the corpus.
+each, from a place that the id's hash gives), the documents with the smallest hashes of their ids; this bound does not
+depend on the size of the corpus. At most MOST_LANGUAGES languages, the commonest, are learned.
 
-Defined cases: null text and text without a letter are `und` with score 0; without any labelled row all are `und`; repeated
-rows get equal results; ties go to the first language by code point; an empty table gives no rows; extra columns are ignored.
+Defined cases: null text and text without a letter (Unicode category L) are `und` with score 0; without any labelled row
+all are `und`; null ids are rows like others (never held out, so learned from), ids are whole at any size; repeated rows
+get equal results and are learned from once; ties go to the first language by code point; an empty table gives no rows;
+the columns asked for pass through unchanged, others are ignored.
 """
 
-import re
+from itertools import groupby, islice
 
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
-from stepforge.llm.storage import bounded_batches, tidy
+from stepforge.llm.storage import arrow_schema, bounded_batches, give_back
 
 HIDDEN, WINDOW, TRAIN_WINDOW = 8, 64, 32
 STEPS, BATCH, RATE, SEED = 400, 256, 0.02, 11
-SAMPLE_PER_LANGUAGE, SALTS, SAMPLE_CHARS = 800, 16, 512
+SAMPLE_PER_LANGUAGE, SAMPLE_CHARS, MOST_LANGUAGES = 800, 512, 400
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _PIECE = 1 << 19
 
 
@@ -145,12 +148,19 @@ def held_out(doc_id):
 
 
 def training_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> list:
-    """At most per_language (lang, excerpt) rows of each language, by smallest hash; salted, so that no task gets a language."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).withColumn("__key", F.xxhash64("doc_id"))
-    at = F.pmod(F.shiftright("__key", 7), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))).cast("int") + 1
-    cut = rows.where(F.rlike("text", F.lit(r"\p{L}"))).select("lang", "__key", F.pmod("__key", F.lit(SALTS)).alias("__salt"), F.substring(F.col("text"), at, F.lit(SAMPLE_CHARS)).alias("text"))
-    nth = F.row_number().over(Window.partitionBy("lang", "__salt").orderBy("__key", "text"))
-    return cut.withColumn("__nth", nth).where(F.col("__nth") <= per_language // SALTS).select("lang", "text").collect()
+    """At most per_language (lang, excerpt) rows of each language, those with the smallest hashes of their ids. How many
+    rows a language has is counted first, so rows above a hash that leaves enough are dropped where they are."""
+    rows = docs.where(F.col("lang").isNotNull() & F.rlike("text", F.lit(r"\p{L}")) & ~held_out(F.col("doc_id")))
+    at = F.pmod(F.shiftright(F.xxhash64("doc_id"), 7), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))).cast("int") + 1
+    count = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    if not count:
+        return []
+    below = F.create_map(*[F.lit(x) for r in count for x in (r["lang"], int((1 << 40) * min(1.0, 1.1 * per_language / r["n"])))])
+    key = F.shiftrightunsigned(F.xxhash64(F.lit(97), "doc_id"), 24)
+    # the filter runs where the rows are; equal rows count once, so no id can fill the sample
+    cut = rows.where(key < F.try_element_at(below, F.col("lang"))).select("lang", key.alias("__key"), F.substring(F.col("text"), at, F.lit(SAMPLE_CHARS)).alias("text"))
+    found = sorted(cut.dropDuplicates(["lang", "__key"]).collect(), key=lambda r: (r["lang"], r["__key"], r["text"]))
+    return [r for _, own in groupby(found, lambda r: r["lang"]) for r in islice(own, per_language)]
 
 
 def train(docs: DataFrame) -> ByteGRU | None:
@@ -183,7 +193,7 @@ def predict(docs: DataFrame, model: ByteGRU | None, columns: list[str]) -> DataF
                 todo.clear()
 
         for i, t in enumerate(texts):
-            if model is None or not isinstance(t, str) or not _LETTER.search(t):
+            if model is None or not isinstance(t, str) or not any(map(str.isalpha, t)):
                 continue
             todo.append((i, t.encode("utf-8", "surrogatepass")))
             size += len(todo[-1][1])
@@ -193,11 +203,14 @@ def predict(docs: DataFrame, model: ByteGRU | None, columns: list[str]) -> DataF
         flush()
         return pred, score
 
-    def run(frames):
-        for pdf in frames:
-            pred, score = label(pdf["text"].tolist())
-            yield pdf[columns].assign(__pred=pred, __score=score)
-
     rows = bounded_batches(docs).select(*columns, *(["text"] if "text" not in columns else []))
     schema = docs.select(*columns).schema.add("__pred", "string").add("__score", "double")
-    return rows.mapInPandas(tidy(run), schema)
+    names = arrow_schema(schema).names
+
+    def run(batches):  # the columns that pass through stay as they are
+        for b in batches:
+            pred, score = label(b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names)
+        give_back()
+
+    return rows.mapInArrow(run, schema)

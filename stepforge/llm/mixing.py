@@ -7,7 +7,9 @@ words before a document are the words of earlier ranges (prefix sum over range t
 range. A source takes whole epochs while its budget lasts and is cut in the last one at the exact word.
 
 Defined cases: null text has size 0 and is never taken; sources without words have target 0; repeated rows count each;
-rows tied in key are ordered by id and size (equal ones are interchangeable); an empty table gives no rows.
+rows tied in key are ordered by id and size (equal ones are interchangeable); null ids have one key, and many of them are one
+range; long texts are counted, and in the mix cut, whole; an empty table gives no rows; extra columns pass through, whatever
+their names, but for __size, __source_size, __target and __taken.
 """
 
 import math
@@ -47,18 +49,19 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     """docs with __size, __source_size, __target and __taken."""
     digits = max(1, math.ceil(math.log(max(1, docs.count() / ROWS_A_RANGE), 16)))
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|" + seed)).cast("binary"))
-    base = docs.withColumns({"__size": n_words(F.col("text")), "__key": key, "__n": F.col("source").isNull().cast("int"), "__s": F.coalesce("source", F.lit(""))})
+    # the row itself is one column: no name of docs can clash with those of the plan
+    base = docs.select(F.struct(*docs.columns).alias("__doc"), n_words(F.col("text")).alias("__size"), key.alias("__key"), F.col("source").isNull().cast("int").alias("__n"), F.coalesce("source", F.lit("")).alias("__s"))
     base = base.withColumn("__range", F.substring("__key", 1, digits))
     ranges = materialize(base.groupBy("__n", "__s", "__range").agg(F.sum("__size").alias("__words")), "ranges")
     plan = materialize(targets(ranges.groupBy("__n", "__s").agg(F.sum("__words").alias("source_size")), weights, share, cap), "targets")
     earlier = F.sum("__words").over(Window.partitionBy("__n", "__s").orderBy("__range")) - F.col("__words")
     ranges = ranges.select("__n", "__s", "__range", earlier.alias("__earlier")).join(plan, ["__n", "__s"])
-    own = Window.partitionBy("__n", "__s", "__range").orderBy("__key", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("__n", "__s", "__range").orderBy("__key", "__doc.doc_id", "__size").rowsBetween(Window.unboundedPreceding, -1)
     budget = F.floor("target")
     left = budget % F.col("source_size") - F.col("__earlier") - F.coalesce(F.sum("__size").over(own), F.lit(0))
     taken = F.floor(budget / F.col("source_size")) * F.col("__size") + F.greatest(F.lit(0), F.least(F.col("__size"), left))
     done = base.join(ranges, ["__n", "__s", "__range"]).withColumn("__taken", F.when(F.col("source_size") > 0, taken).otherwise(0).cast("long"))
-    return done.select(*docs.columns, "__size", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), "__taken")
+    return done.select("__doc.*", "__size", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), "__taken")
 
 
 def realize(mixed: DataFrame, columns: list[str]) -> DataFrame:

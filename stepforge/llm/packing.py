@@ -6,8 +6,9 @@ of equal content are one pattern with a count. A pattern holds (length, repeats)
 bounded by max_len, not by the data. Patterns go back to pieces by rank: a piece's rank among the pieces of its length is
 its rank within its task plus the counts of earlier tasks, a prefix sum over (task, length) counts.
 
-Defined cases: null text is empty and yields the end token alone; repeated rows are packed each; an empty table gives no
-rows; extra columns are not read.
+Defined cases: null or empty text yields the end token alone; a long text fills many packs; null ids are packed as they
+are, ids are whole at any size; repeated rows are packed each; pieces of equal length are interchangeable; an empty table
+gives no rows; extra columns are not read.
 """
 
 import heapq
@@ -19,10 +20,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from stepforge.llm import tokenization
-from stepforge.llm.storage import bounded_batches, materialize, tidy
+from stepforge.llm.storage import bounded_batches, bounded_broadcast, map_frames, materialize, whole
 
 MAX_LEN = 2048
 END_ID = 1
+#: Rows of (task, length) counts that are broadcast at most.
+MOST_BASES = 200_000
 
 
 def pattern_plan(histogram: dict[int, int], max_len: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -114,12 +117,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, end_id
                 return pd.DataFrame({"doc_id": pd.array(docs_, "Int64"), "start": starts, "length": lengths, "doc_tokens": totals, "ids": ids, "part": part, "nth": nth})
 
             size = 0
-            for doc, text in zip(pdf["doc_id"].tolist(), pdf["text"], strict=True):
+            for doc, text in zip(whole(pdf["doc_id"]), pdf["text"], strict=True):
                 data = tok.encode(text if isinstance(text, str) else "") + end
                 n = len(data) // 4
                 for s in range(0, n, max_len):
                     k = min(max_len, n - s)
-                    docs_.append(None if doc != doc or doc is None else int(doc))
+                    docs_.append(doc)
                     starts.append(s)
                     lengths.append(k)
                     totals.append(n)
@@ -135,7 +138,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, end_id
                 yield frame()
 
     schema = "doc_id long, start long, length long, doc_tokens long, ids binary, part int, nth long"
-    return bounded_batches(docs).select("doc_id", "text").mapInPandas(tidy(cut), schema)
+    return map_frames(bounded_batches(docs).select("doc_id", "text"), cut, schema)
 
 
 def pack(pieces: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
@@ -144,6 +147,8 @@ def pack(pieces: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
     counts = materialize(pieces.groupBy("part", "length").agg(F.count("*").alias("__n")), "piece-counts")
     before = F.sum("__n").over(Window.partitionBy("length").orderBy("part")) - F.col("__n")
     bases = counts.select("part", "length", before.alias("__base"))
+    rows = counts.count()  # at most tasks times lengths: broadcast while few, else both sides are dealt by (part, length)
+    bases = bounded_broadcast(bases, rows) if rows <= MOST_BASES else bases.hint("shuffle_hash")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("__n").alias("n")).collect()}  # max_len rows at most
     if not histogram:
         return pieces.drop("part", "nth").withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})

@@ -56,8 +56,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records, _ = warc.archive(_table(spark, sf_dir, "pages"), min_bytes=100)
-    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    history = warc.archive(_table(spark, sf_dir, "pages"), min_bytes=100)
+    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

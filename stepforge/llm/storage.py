@@ -4,21 +4,28 @@ import atexit
 import ctypes
 import re
 import shutil
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+import pyarrow as pa
 
-LOCAL_DEFAULT = "/tmp/checkpoints"
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); one is set only where the session has none."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where the session names none, a temporary folder does for a master
+    whose executors are the driver's own process; any other cluster has to name one."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
-        sc.setCheckpointDir(LOCAL_DEFAULT)
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="tables-")
+        sc.setCheckpointDir(own)
         root = sc.getCheckpointDir()
-        atexit.register(shutil.rmtree, re.sub("^file:/*", "/", root), ignore_errors=True)
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
     return root.rstrip("/")
 
 
@@ -31,7 +38,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialize wrote; nothing that is still to run may read them."""
+    for df in tables:
+        jvm, path = df.sparkSession._jvm, df.written_to
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 #: Bytes of rows that go to a Python worker at once.
@@ -39,8 +56,11 @@ BATCH_BYTES = 8 << 20
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """df, with the session's Arrow batches bounded in bytes: of long texts a batch holds few rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """df, with the session's Arrow batches bounded in bytes: of long texts a batch holds few rows. The bound belongs to the
+    session, as plans are lazy; a bound of the caller's own is left alone."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in conf.getAll:
+        conf.set(key, str(BATCH_BYTES))
     return df
 
 
@@ -55,14 +75,32 @@ def give_back() -> None:
         pass
 
 
-def tidy(run):
-    """A function over batches that gives its memory back at its end."""
+def arrow_schema(schema: str | StructType) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
+
 
-    def wrapped(frames):
-        yield from run(frames)
+#: Whole numbers with nulls stay whole: as floats, those beyond 2^53 would change.
+_WHOLE = {pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}
+
+
+def map_frames(df: DataFrame, run, schema: str | StructType) -> DataFrame:
+    """run over the pandas frames of each task, as mapInPandas, but for columns of whole numbers, which are Int64 with NA for
+    null whatever their rows hold; a task gives its memory back at its end."""
+    out = arrow_schema(schema)
+
+    def mapped(batches):
+        for frame in run(b.to_pandas(types_mapper=_WHOLE.get) for b in batches):
+            yield pa.RecordBatch.from_pandas(frame, schema=out, preserve_index=False)
         give_back()
 
-    return wrapped
+    return df.mapInArrow(mapped, schema)
+
+
+def whole(column: pd.Series) -> list:
+    """Python integers, None for null."""
+    return [None if v is pd.NA else v for v in column.tolist()]
 
 
 def bounded_broadcast(df: DataFrame, rows: int, max_rows: int = 200_000):
@@ -73,7 +111,7 @@ def bounded_broadcast(df: DataFrame, rows: int, max_rows: int = 200_000):
 
 
 def hash_sample(df: DataFrame, key: str, most: int, columns: list[str]) -> list:
-    """About `most` rows at most, those with the smallest hashes of key, on the driver: rows above a hash that leaves a
+    """`most` rows at most, those with the smallest hashes of key, on the driver: rows above a hash that leaves a
     tenth more than asked for are filtered out where they are, so no task sends more than its share."""
     from pyspark.sql import functions as F
 
@@ -82,5 +120,6 @@ def hash_sample(df: DataFrame, key: str, most: int, columns: list[str]) -> list:
     picked = df.withColumn("__h", h)
     if n > most:
         picked = picked.where(F.col("__h") < int((1 << 40) * min(1.0, 1.1 * most / n)))
-    rows = sorted(picked.select("__h", *columns).collect(), key=lambda r: (r[0], *(str(v) for v in r[1:])))
-    return rows[:most]
+    # the limit holds where many rows have one key; the order makes it a top-k in each task
+    rows = picked.select("__h", *columns, F.xxhash64(F.lit(11), *columns).alias("__tie")).orderBy("__h", "__tie").limit(most).collect()
+    return sorted(rows, key=lambda r: (r[0], *(str(v) for v in r[1:])))

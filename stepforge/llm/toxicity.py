@@ -4,13 +4,14 @@ Confirmed toxic texts (labelled 1 in the learning folds) are the positives; unla
 folds, whatever their label) stands for the whole corpus. A linear classifier over counts of hashed words and word beginnings minimises
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
 with logistic losses; where the second part falls below zero its gradient is turned round. The class prior is the share
-of toxic rows among the labelled rows of the learning folds. The cut is put into the widest gap of the
-scores of unlabelled texts where about the prior's share is above it, and the score there is 0.7. Positives and
-unlabelled rows are bounded samples (MAX_POSITIVE, MAX_UNLABELLED, by smallest hash of the id); every row is scored on
-its whole text.
-
-Defined cases: null or empty text has no words and gets the bias's score; without labelled toxic rows every score is 0;
-repeated rows get equal scores; an empty table gives no rows; extra columns are ignored.
+of toxic rows among the labelled rows of the learning folds. The same risk in zero-one loss, over the learning folds' sample,
+sets the cut, where the score is 0.7. Positives and unlabelled rows are bounded samples (MAX_POSITIVE, MAX_UNLABELLED rows,
+those with the smallest hashes of the id, whole texts); every row is scored on its whole text.
+
+Defined cases: null or empty text has no words and gets the bias's score, long texts count a word MOST times at most;
+without labelled toxic rows every score is 0; null ids are scored, held out of nothing and not learned from as toxic; ids
+are whole at any size; an id labelled twice is toxic if one label says so; repeated rows get equal scores; ties in hash are
+ordered by text; an empty table gives no rows; extra columns are ignored.
 """
 
 import numpy as np
@@ -18,24 +19,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from stepforge.llm.hashing import NOT_ALNUM, batches_by_bytes, word_hashes
-from stepforge.llm.storage import bounded_batches, hash_sample, tidy
+from stepforge.llm.storage import bounded_batches, hash_sample, map_frames
 
-MAX_POSITIVE, MAX_UNLABELLED, SAMPLE_CHARS = 3000, 9000, 20_000
+MAX_POSITIVE, MAX_UNLABELLED = 3000, 9000
 FEATURE_BITS, PREFIXES, MOST = 22, (4, 5, 6, 7), 8
 #: So many of the commonest features join in as a measure of length in each language: words that toxic texts only seem to hold
 #: more of, being longer, are set off against them.
 COMMON, COMMON_MOST, COMMON_UNIT = 128, 200, 20.0
 #: Small samples can show less significance.
-MIN_POSITIVE_TEXTS, MIN_LIFT, MIN_Z, MAX_Z, POSITIVES_A_Z = 5, 3.0, 6.0, 12.0, 200
+MIN_POSITIVE_TEXTS, MIN_LIFT, MIN_Z, MAX_Z, POSITIVES_A_Z = 5, 3.0, 5.0, 12.0, 200
 EPOCHS, BATCH, RATE, L2, SEED = 30, 512, 0.03, 1e-3, 5
 CUT = 0.7
-#: Between these shares of the prior, as the share of unlabelled texts above it, the cut is put into the widest gap.
-PRIOR_RANGE = (0.6, 1.05)
 
 
 def features(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed words and word beginnings of each text with counts: (index, count, bounds)."""
-    h, b = word_hashes(texts, breaks=NOT_ALNUM, prefixes=PREFIXES)
+    h, b = word_hashes([t and t.lower() for t in texts], breaks=NOT_ALNUM, prefixes=PREFIXES)
     doc = np.repeat(np.arange(len(b) - 1, dtype=np.int64), np.diff(b))
     key, count = np.unique((doc << np.int64(FEATURE_BITS)) | (h >> np.uint64(64 - FEATURE_BITS)).astype(np.int64), return_counts=True)
     return key & ((1 << FEATURE_BITS) - 1), count.astype(float), np.searchsorted(key >> np.int64(FEATURE_BITS), np.arange(len(b)))
@@ -50,6 +49,19 @@ def _holders(texts) -> np.ndarray:
     return out
 
 
+def least_risk_cut(fp: np.ndarray, fu: np.ndarray, prior: float) -> float:
+    """The cut with the least non-negative risk in zero-one loss, prior * P_p(f < cut) + max(0, P_u(f >= cut) - prior *
+    P_p(f >= cut)), over the margins of positive and unlabelled texts: the middle of the widest gap that has it."""
+    at = np.unique(np.concatenate((fp, fu)))
+    cuts = np.concatenate(([at[0] - 1], (at[1:] + at[:-1]) / 2, [at[-1] + 1]))
+    p = 1 - np.searchsorted(np.sort(fp), cuts) / len(fp)
+    u = 1 - np.searchsorted(np.sort(fu), cuts) / len(fu)
+    risk = prior * (1 - p) + np.maximum(0, u - prior * p)
+    gap = np.concatenate(([0], np.diff(at), [0]))
+    best = np.flatnonzero(risk <= risk.min() + 1e-12)
+    return float(cuts[best[np.argmax(gap[best])]])
+
+
 class NonNegativePU:
     def __init__(self, prior: float):
         self.prior = prior
@@ -107,13 +119,9 @@ class NonNegativePU:
                     mean_w += (self.w - mean_w) / averaged
                     mean_bias += (self.bias - mean_bias) / averaged
         self.w, self.bias = mean_w, mean_bias
-        raw = self._margin(*self._rows(u, np.arange(n_u)), n_u)
-        down = np.sort(raw)[::-1]
-        lo, hi = (min(max(1, round(n_u * self.prior * s)), n_u - 1) for s in PRIOR_RANGE)
-        gaps = down[lo - 1 : hi] - down[lo : hi + 1] if n_u > 1 else np.zeros(1)
-        k = lo + int(np.argmax(gaps)) if n_u > 1 else 0
-        self.cut = float(down[max(0, k - 1)] + down[k]) / 2
-        self.scale = float(max(1e-6, np.std(raw)))
+        fu, fp = self._margin(*self._rows(u, np.arange(n_u)), n_u), self._margin(*self._rows(p, np.arange(n_p)), n_p)
+        self.cut = least_risk_cut(fp, fu, self.prior)
+        self.scale = float(max(1e-6, np.std(fu)))
         return self
 
     def _weighed(self, texts):
@@ -150,8 +158,8 @@ def train(docs: DataFrame, labels: DataFrame) -> NonNegativePU | None:
         return None
     learn = docs.where("doc_id is not null").where(~held_out(F.col("doc_id"))).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     pick = lambda d, n: [r["text"] for r in hash_sample(d, "doc_id", n, ["text"])]
-    positive = pick(learn.where(F.length("text") <= SAMPLE_CHARS).join(lab.where("toxic = 1").select("doc_id"), "doc_id", "left_semi"), MAX_POSITIVE)
-    unlabelled = pick(learn.where(F.length("text") <= SAMPLE_CHARS), MAX_UNLABELLED)
+    positive = pick(learn.join(lab.where("toxic = 1").select("doc_id"), "doc_id", "left_semi"), MAX_POSITIVE)
+    unlabelled = pick(learn, MAX_UNLABELLED)
     if not positive or not unlabelled:
         return None
     return NonNegativePU(float(min(0.9, prior))).fit(positive, unlabelled)
@@ -165,4 +173,4 @@ def score(docs: DataFrame, model: NonNegativePU | None) -> DataFrame:
             texts = [t if isinstance(t, str) else None for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": model.score(texts) if model else 0.0})
 
-    return bounded_batches(docs).select("doc_id", "text").mapInPandas(tidy(run), "doc_id long, score double")
+    return map_frames(bounded_batches(docs).select("doc_id", "text"), run, "doc_id long, score double")

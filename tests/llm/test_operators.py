@@ -1,9 +1,9 @@
 """Small exact tests of the corpus operators, mostly against brute force, and their defined edge cases."""
 
 import gzip
-import io
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -11,7 +11,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from stepforge.llm import components, cover_tree, hashing, html_extract, language_id, line_dedup, minhash_dedup, mixing, packing, quality_rules, tokenization, toxicity, warc
+from stepforge.llm import components, cover_tree, hashing, html_extract, language_id, line_dedup, minhash_dedup, mixing, packing, quality_rules, storage, tokenization, toxicity, warc
 from stepforge.llm.queries import ORACLE_SQL, tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -338,9 +338,19 @@ def test_cover_tree_bounds_hold():
     for spans, centres, cover in t.levels:
         for (lo, hi), c, r in zip(spans.tolist(), centres.tolist(), cover.tolist(), strict=True):
             assert lo <= c < hi and np.sqrt(((y[lo:hi] - y[c]) ** 2).sum(1)).max() <= r + 1e-6
-    found = {(int(i), int(j)) for p in cover_tree.close_pairs(t, y, t, y, 0.4) for i, j in zip(*p, strict=True)}
     d = np.sqrt(np.maximum(0, 2 - 2 * y @ y.T))
-    assert {(int(i), int(j)) for i, j in zip(*np.nonzero(d <= 0.399), strict=True)} <= found
+    for same in (False, True):
+        found = set()
+        for kind, i, j in cover_tree.close_pairs(t, y, t, y, 0.4, same):
+            if kind == "maybe":
+                found |= set(zip(i.tolist(), j.tolist(), strict=True))
+                continue
+            for (alo, ahi), (blo, bhi) in zip(i.tolist(), j.tolist(), strict=True):
+                every = {(p, q) for p in range(alo, ahi) for q in range(blo, bhi)}
+                assert max(d[p, q] for p, q in every) <= 0.4 and not every & found
+                found |= every
+        want = {(i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(d <= 0.399)), strict=True)}
+        assert want <= (found | {(j, i) for i, j in found} if same else found)
 
 
 # ---- pages (4, 9) ------------------------------------------------------------------------------------------------------
@@ -348,8 +358,10 @@ def test_cover_tree_bounds_hold():
 def test_blocks_of_broken_and_odd_markup():
     html = "<!DOCTYPE html><head><title>x</title></head><body><nav>menu</nav><div class='side-bar'>s</div><article><h1>A &amp B</h1><p>one <b>two<br>three<p>four&nbsp;five<script>var a='</p>'</script></p><div class=ad>buy</div></article><div id=comments><p>hi</p></div><footer>f"
     assert html_extract.main_text(html_extract.blocks(html), []) == "A & B\none two three\nfour five"
-    assert html_extract.blocks("") == [] and html_extract.blocks("<") == [("<", False)] and html_extract.blocks("a < b") == [("a < b", False)]
-    assert html_extract.blocks("<p>x</p" + "<p>" * 3000 + "y")[-1] == ("y", False)
+    assert html_extract.blocks("") == [] and html_extract.blocks("<") == [("<", False, False)] and html_extract.blocks("a < b") == [("a < b", False, False)]
+    assert html_extract.blocks("<p>x</p" + "<p>" * 3000 + "y")[-1] == ("y", False, False)
+    inside = html_extract.blocks("<article><p>one <button>press<br>me</button>two</p><nav>a<p>b</nav></article><footer>f</footer>")
+    assert inside == [("press me", True, True), ("one two", True, False), ("a", True, True), ("b", True, True), ("f", False, True)]
 
 
 def test_shared_lines_go_and_copies_stay(spark):
@@ -384,7 +396,7 @@ def test_neighbours_beyond_copies_whatever_the_ranges(spark):
         assert sorted((r["page_id"], r["text"]) for r in html_extract.extract(df, ranges).collect()) == want
 
 
-def test_common_lines_are_a_longest_common_subsequence():
+def test_common_lines_are_a_longest_common_subsequence(monkeypatch):
     rng = random.Random(12)
     for _ in range(100):
         a, b = [[rng.choice("abcd") for _ in range(rng.randint(0, 9))] for _ in range(2)]
@@ -392,7 +404,21 @@ def test_common_lines_are_a_longest_common_subsequence():
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
-        assert len(html_extract.common_lines(a, b)) == t[-1][-1]
+        for listed in (1 << 20, 0):
+            monkeypatch.setattr(html_extract, "LISTED", listed)
+            got = html_extract.common_lines(a, b)
+            assert len(got) == t[-1][-1]
+            at = iter(b)
+            assert all(a[i] in at for i in sorted(got))
+
+
+def test_common_lines_of_long_pages_with_few_different_lines():
+    assert len(html_extract.common_lines(["x"] * 100_000, ["y"] + ["x"] * 100_001)) == 100_000
+    rng = random.Random(3)
+    a, b = [[rng.choice("abc") for _ in range(6000)] for _ in range(2)]
+    began = time.perf_counter()
+    got = html_extract.common_lines(a, b)
+    assert time.perf_counter() - began < 5 and len(got) == int(html_extract._lengths(a, b)[-1])
 
 
 def test_loser_tree_merges_like_sorting():
@@ -402,29 +428,166 @@ def test_loser_tree_merges_like_sorting():
         assert list(warc.LoserTree(runs, lambda v: v)) == sorted(v for r in runs for v in r)
 
 
-def test_warc_round_trip(spark):
+def warc_rows(spark):
     long_ = "<p>" + "payload é " * 30 + "\r\n\r\nWARC/1.1\r\n</p>"
     rows = [(3, "http://a.x/1", long_), (1, "http://www.b.x/z", long_), (2, None, "short"), (4, "http://b.x/a", "short"), (5, "http://a.x/0", None), (6, "http://a.x/0\r\nx", ""), (1, "http://www.b.x/z", long_)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
-    records, index = warc.archive(df)
-    got = sorted((tuple(r) for r in records.drop("url").collect()), key=str)
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def test_warc_round_trip(spark):
+    df = warc_rows(spark).repartition(3)
+    history = warc.archive(df, range_rows=2)
+    got = sorted((tuple(r) for r in history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=str)
     assert got == duck(f"SELECT page_id, payload_bytes, payload_digest, record_type, refers_to FROM ({ORACLE_SQL['op9_warc']})", pages=df)
-    entries = index.orderBy("part", "rank").collect()
+    entries = history.orderBy("part", "rank").collect()
     keys = [(r["urlkey"], r["ts"], r["page_id"]) for r in entries]
-    assert keys == sorted(keys) and len(keys) == len(rows)
+    assert keys == sorted(keys) and len(keys) == 7 and len({r["ts"] for r in entries}) == 6
     for r in entries:  # each entry leads to its record
         with open(warc._filesystem(r["file"])[1], "rb") as f:
             f.seek(r["offset"])
             data = gzip.decompress(f.read(r["length"]))
-        head, _ = next(warc.read_records(io.BytesIO(data)))
-        assert head["WARC-Record-ID"] == f"<urn:page:{r['page_id']}>" and head["WARC-Type"] == r["record_type"]
-    assert warc.archive(df.limit(0))[0].count() == 0
+        head, _ = next(warc.read_records(data))
+        assert head["WARC-Record-ID"] == f"<urn:page:{r['page_id']}>" and head["WARC-Type"] == r["record_type"] and head["WARC-Date"] == r["ts"]
+    assert warc.archive(df.limit(0)).count() == 0
 
 
-def test_warc_index_in_several_ranges(spark):
-    rows = [(k, f"http://hot.x/{k % 7}", f"page {k}") for k in range(300)]
+@pytest.mark.parametrize("fan_in", [128, 2])
+def test_warc_index_in_several_ranges_and_passes(spark, fan_in):
+    rows = [(None if k % 9 == 0 else k, f"http://hot.x/{k % 7}" if k % 3 else "http://hot.x/one", f"page {k} " * (k % 40)) for k in range(300)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
-    runs = warc.write_archives(warc.plan_records(df), warc.new_path(spark, "t")).persist()
-    got = warc.merge_index(runs, 50).orderBy("part", "rank").collect()
-    assert [(r["urlkey"], r["page_id"]) for r in got] == sorted((warc.url_key(u), k) for k, u, _ in rows)
-    assert len({r["part"] for r in got}) > 1
+    got = warc.archive(df, range_rows=20, fan_in=fan_in).orderBy("part", "rank").collect()
+    low = lambda p: (p is not None, p or 0)
+    assert [(r["urlkey"], r["ts"], low(r["page_id"])) for r in got] == sorted((warc.url_key(u), warc.capture_time(k), low(k)) for k, u, _ in rows)
+    assert len({r["part"] for r in got}) >= 4
+    assert sorted(r["payload_bytes"] for r in got) == sorted(len(h) for _, _, h in rows)
+
+
+def test_the_history_is_what_the_index_leads_to(spark):
+    df = warc_rows(spark).repartition(2)
+    blocks = warc.write_archives(warc.plan_records(df), warc.new_path(spark, "t")).collect()
+    entries = [e for b in blocks for e in warc._entries([(b["path"], b["at"], b["bytes"])], None, None)]
+    assert sum(len(f) for f in warc.walk(iter(entries), 0)) == 7
+    assert sum(len(f) for f in warc.walk(iter(entries[2:]), 0)) == 5
+    wrong = [list(entries[0])]
+    wrong[0][7:] = entries[1][7:]
+    with pytest.raises(ValueError):
+        list(warc.walk(iter(wrong), 0))
+
+
+# ---- nulls, large ids and clashing names -------------------------------------------------------------------------------
+
+BIG = [2**60 + 1, None, 2**60 + 3]
+
+
+def test_ids_stay_whole_beside_nulls(spark):
+    text = "the same words in every row of this little table"
+    docs = spark.createDataFrame([(i, text, "en", "s", 1, "x") for i in BIG], DOCS + ", __extra string")
+    key = lambda v: (v is not None, v or 0)
+    ids = lambda df, c="doc_id": sorted((r[c] for r in df.collect()), key=key)
+    want = sorted(BIG, key=key)
+    assert ids(packing.pack_documents(docs, tokenizer_path())) == want
+    assert ids(mixing.mix(docs)) == want
+    assert ids(toxicity.score(docs, None)) == want
+    assert ids(line_dedup.dedup_lines(docs)) == want
+    assert ids(quality_rules.judge(docs)) == want
+    model = language_id.train(docs)
+    predicted = language_id.predict(docs, model, docs.columns)
+    assert ids(predicted) == want and predicted.drop("__pred", "__score").schema == docs.schema
+    near = {r["doc_id"]: (r["component_id"], r["kept"]) for r in minhash_dedup.near_duplicates(docs, 2).collect()}
+    assert near == {BIG[0]: (BIG[0], True), BIG[2]: (BIG[0], False), None: (None, True)}
+    vectors = spark.createDataFrame([(i, [1.0, 2.0]) for i in BIG], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in cover_tree.near_vectors(vectors).collect()}
+    assert got == {BIG[0]: (1, BIG[0]), BIG[2]: (1, BIG[0]), None: (0, None)}
+    pages = spark.createDataFrame([(i, "http://h.x/1", "<p>" + "words " * 30) for i in BIG], "page_id long, url string, html string")
+    assert ids(html_extract.extract(pages), "page_id") == want
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.archive(pages).collect()}
+    assert got == {BIG[0]: ("response", None), BIG[2]: ("revisit", BIG[0]), None: ("response", None)}
+    both = warc.archive(pages.where("page_id is not null")).select("refers_to").collect()
+    assert {r[0] for r in both} == {None, BIG[0]}
+
+
+def test_clashing_column_names(spark):
+    names = ["target", "source_size", "size", "taken", "rank", "part", "bucket", "component_id", "score", "kept", "offset", "length", "start", "u", "v", "n"]
+    docs = docs_of(spark, ["some words that are here once", "other words in another text", None, ""])
+    odd = docs.withColumns({c: F.lit(c) for c in names})
+    mixed = mixing.mix(odd)
+    assert mixed.columns[: len(odd.columns)] == odd.columns and mixed.count() == 4
+    assert mixing.realize(mixed, odd.columns).columns == odd.columns
+    assert line_dedup.dedup_lines(odd).select(odd.columns).count() == quality_rules.judge(odd).count() == 4
+    assert packing.pack_documents(odd, tokenizer_path()).count() == toxicity.score(odd, None).count() == minhash_dedup.near_duplicates(odd).count() == 4
+    assert language_id.predict(odd, language_id.train(odd), odd.columns).select(odd.columns).count() == 4
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1])], "vec_id long, embedding array<double>").withColumns({c: F.lit(c) for c in ("id", "v", "vector", "dim", "pivot", "node", "copies")})
+    assert sorted(r["n_links"] for r in cover_tree.near_vectors(vectors).collect()) == [1, 1]
+    pages = warc_rows(spark).withColumns({c: F.lit(c) for c in ("text", "keep", "file", "run", "ts", "payload_digest", "record_type", "n_chars")})
+    assert html_extract.extract(pages).count() == warc.archive(pages).count() == 7
+
+
+def test_texts_without_a_letter_are_undetermined(spark):
+    docs = docs_of(spark, ["words to learn from", "½ ² Ⅷ ① ٣", "ª"], lang=["en", None, None])
+    got = {r["doc_id"]: r["__pred"] for r in language_id.predict(docs, language_id.train(docs.withColumn("doc_id", F.lit(next(k for k in range(9) if zlib.crc32(str(k).encode()) % 3 != 1)).cast("long"))), ["doc_id", "lang"]).collect()}
+    assert got[1] == "und" and got[2] == "en"
+
+
+def test_very_long_texts(spark):
+    line = " ".join(f"w{k % 977}" for k in range(60_000))
+    docs = docs_of(spark, [line, line + "\n" + line.replace("w", "v"), "a short one"])
+    assert {r["doc_id"]: r["__size"] for r in mixing.mix(docs).collect()} == {0: 60_000, 1: 120_000, 2: 3}
+    assert {r["doc_id"]: r["n_words"] for r in quality_rules.judge(docs).collect()} == {0: 60_000, 1: 120_000, 2: 3}
+    assert {r["doc_id"]: r["__n_dropped"] for r in line_dedup.dedup_lines(docs).collect()} == {0: 0, 1: 1, 2: 0}
+    assert {r["doc_id"]: r["n_shingles"] for r in minhash_dedup.near_duplicates(docs, 2).collect()} == {0: 977, 1: 977 * 2 + 1, 2: 2}
+    assert toxicity.score(docs, None).count() == 3
+    html = "<article>" + "".join(f"<p>{w}</p>" for w in line.split()) + "</article>"
+    pages = spark.createDataFrame([(1, "http://h.x/1", html), (2, "http://h.x/2", html + "<p>end</p>")], "page_id long, url string, html string")
+    assert {r["n_chars"] for r in html_extract.extract(pages).collect()} >= {len(line)}
+    assert {r["payload_bytes"] for r in warc.archive(pages).collect()} == {len(html), len(html) + 10}
+
+
+def test_hash_sample_is_bounded_and_repeatable(spark):
+    rows = spark.createDataFrame([(5, "one")] * 3000 + [(k, f"t{k}") for k in range(10, 40)], "id long, text string")
+    got = storage.hash_sample(rows, "id", 20, ["id"])
+    assert len(got) <= 20 and [tuple(r) for r in got] == [tuple(r) for r in storage.hash_sample(rows.repartition(7), "id", 20, ["id"])]
+
+
+def test_hot_join_equals_a_join(spark, monkeypatch):
+    monkeypatch.setattr(components, "HOT_ROWS", 5)
+    monkeypatch.setattr(components, "MOST_HOT", 3)
+    left = spark.createDataFrame([(1, k) for k in range(40)] + [(k, k) for k in range(2, 20)], "a long, b long")
+    right = left.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("m")).where("a <> 7")
+    join = lambda d: sorted(map(tuple, d.select("a", "b", "m").collect()))
+    assert join(components.hot_join(left, right, ["a"], "n", left.count())) == join(left.join(right, "a"))
+    edges = [(0, k) for k in range(1, 30)] + [(k, k + 100) for k in range(1, 30)] + [(500, 501)]
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**{k: 0 for k in [*range(30), *range(101, 130)]}, 500: 500, 501: 500}
+
+
+def test_near_duplicates_with_wide_buckets(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "STRAY_SHINGLES", 50)
+    monkeypatch.setattr(minhash_dedup, "MEMBER_SHINGLES", 100)
+    texts = near_texts(120, 8)
+    got = minhash_dedup.near_duplicates(docs_of(spark, texts), 2, 80).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == brute_components(texts, 2, 80)
+
+
+def test_least_risk_cut_is_the_least_of_all_cuts():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        fp, fu, prior = rng.normal(1, 1, 12).round(1), rng.normal(0, 1, 40).round(1), 0.2
+        risk = lambda c: prior * (fp < c).mean() + max(0, (fu >= c).mean() - prior * (fp >= c).mean())
+        assert risk(toxicity.least_risk_cut(fp, fu, prior)) <= min(risk(c) for c in np.arange(-5, 5, 0.05)) + 1e-9
+
+
+def test_near_vectors_over_many_shards(spark):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=(1500, 6)), rng.normal(size=6) + rng.normal(scale=0.02, size=(900, 6)), np.tile(rng.normal(size=6), (300, 1))])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.9
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in cover_tree.near_vectors(df, shard_rows=100).collect()}
+    assert [got[k][0] for k in range(len(x))] == (near.sum(1) - 1).tolist()
+    label = np.arange(len(x))
+    while True:
+        new = np.array([label[near[k]].min() for k in range(len(x))])
+        if (new == label).all():
+            break
+        label = new
+    assert [got[k][1] for k in range(len(x))] == label.tolist()
