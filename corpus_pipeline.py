@@ -2,11 +2,18 @@
 
 Each stage takes (spark, docs, sf_dir), where docs is what the stage before it wrote, and returns a DataFrame. All but the
 last return the columns of documents; n_chars follows the text where a stage changes it.
+
+Defined cases: null and empty texts have no letter and go in the first stage; long texts stay whole up to the last stage,
+which cuts them into pieces; rows with a null id are documents of their own: no line of theirs goes, they are nobody's
+near-duplicates, and they are mixed and packed; ids are whole at any size; rows repeated under one id are one document from
+the third stage on, the longest text (of several, the first by code point) standing for it; ties go by id; an empty table
+gives empty tables; extra columns pass through to the mix, whatever their names but for those that begin with __.
 """
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from stepforge.llm import language_id, line_dedup, minhash_dedup, mixing, packing
+from stepforge.llm.components import connected_components
 from stepforge.llm.queries import tokenizer_path
 from stepforge.llm.storage import bounded_broadcast, materialize, new_path
 
@@ -36,10 +43,15 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: of each group of near-duplicates (five-word shingles, similarity 0.8) the smallest id stays, in one row."""
-    groups = minhash_dedup.near_duplicates(docs, n=5, percent=80)
-    gone = materialize(groups.where(~F.col("kept")).select("doc_id").distinct(), "gone")
-    left = docs.join(bounded_broadcast(gone, gone.count()), "doc_id", "left_anti")
+    """Operator 10 with its two-word shingles and similarity 0.8: of each group of near-duplicates the smallest id stays, in one
+    row. The stage before took from a near copy the lines that it shares, so what is alike is only seen in the documents
+    as they were; both texts of a document are compared, the one it came with and the one it has. Documents without a
+    word left go: all they held stays elsewhere."""
+    came = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    links = [minhash_dedup.near_duplicates(d, n=2, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias("u"), F.col("component_id").alias("v")) for d in (came, docs)]
+    alike = materialize(connected_components(links[0].union(links[1]).distinct()), "alike")
+    gone = materialize(alike.where("node <> component").select(F.col("node").alias("doc_id")), "gone")
+    left = docs.where(F.rlike("text", F.lit(r"[^\x20\x09-\x0D]"))).join(bounded_broadcast(gone, gone.count()), "doc_id", "left_anti")
     repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if not repeated.isEmpty():
         first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(F.length("text")), "text"))
