@@ -32,7 +32,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from stepforge.llm.storage import bounded_batches, map_frames, materialize, whole
+from stepforge.llm.storage import bounded_batches, discard, map_frames, materialize, whole
 
 COPY_SHARE = 0.6
 #: Runs of copies that a page looks at on either side for a dissimilar page.
@@ -373,6 +373,7 @@ def decisions(keyed: DataFrame, ranges: int) -> DataFrame:
     order = ["__host", "__path", "page_id", "__k", "__k2"]
     placed = lines.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("__pos", F.monotonically_increasing_id())
     placed = materialize(placed.withColumn("__part", F.shiftright("__pos", 33)).drop("page_id", "__path"), "page-order")
+    discard(lines)
     grouped = placed.repartition(ranges, "__part").groupBy("__part")
 
     def edge_frame(pdf):
@@ -388,7 +389,9 @@ def decisions(keyed: DataFrame, ranges: int) -> DataFrame:
         keep = decide(rows, beyond(i, edges, True), beyond(i, edges, False))
         return pd.DataFrame({"__k": [r[2] for r in rows], "__k2": [r[3] for r in rows], "keep": [k for k, _ in keep], "n_shared": [n for _, n in keep]})
 
-    return grouped.applyInPandas(keep_frame, "__k long, __k2 long, keep array<int>, n_shared long")
+    keep = materialize(grouped.applyInPandas(keep_frame, "__k long, __k2 long, keep array<int>, n_shared long"), "page-kept")
+    discard(placed)
+    return keep
 
 
 def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
