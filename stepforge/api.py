@@ -13,7 +13,7 @@ from stepforge.functions.numeric import INF
 from stepforge.operators import barcodes, pairs, steps
 from stepforge.operators.homology import persistent_homology
 from stepforge.operators.matrices import DistanceMatrix, SymmetricMatrix, stack_matrices
-from stepforge.sources.construct import point_clouds, stack
+from stepforge.sources.construct import point_clouds, stack, zeros
 from stepforge.tensor import Tensor, allclose, axes, from_points, to_points  # noqa: F401
 
 
@@ -87,7 +87,9 @@ def iterate_rectangles(f: Tensor, g: Tensor, a: float = 0.0, b: float = INF):
     return steps.rectangles(to_points(f), to_points(g), axes(f.ndim), a, b)
 
 
-def lp_norm(x: Tensor, p: float = 1.0) -> Tensor:
+def lp_norm(x: Tensor | list, p: float = 1.0) -> Tensor:
+    """Of each function of a tensor or a list."""
+    x = _listed(x)
     _floats(x)
     return _scalars(steps.lp_norm(to_points(x), axes(x.ndim), p), x.shape, x)
 
@@ -117,8 +119,22 @@ def _one_axis(x: Tensor) -> None:
 
 
 def _listed(x) -> Tensor:
-    """A tensor, or a list of single functions as one."""
-    return x if isinstance(x, Tensor) else stack([f.reshape(()) for f in x])
+    """A tensor, or a list of single functions as one; an empty list is a tensor of shape (0,)."""
+    if isinstance(x, Tensor):
+        return x
+    x = list(x)
+    for f in x:
+        if not isinstance(f, Tensor):
+            raise TypeError("a tensor or a list of functions is asked for")
+    if len({f.dtype.name for f in x}) > 1:
+        raise TypeError("functions of one type are asked for")
+    return stack([f.reshape(()) for f in x]) if x else zeros(_session(), (0,), "pcf64")
+
+
+def _session():
+    from pyspark.sql import SparkSession
+
+    return SparkSession.builder.getOrCreate()
 
 
 def pdist(x: Tensor | list, p: float = 1.0, strategy: str = "auto") -> DistanceMatrix:
@@ -127,10 +143,11 @@ def pdist(x: Tensor | list, p: float = 1.0, strategy: str = "auto") -> DistanceM
     return DistanceMatrix(pairs.pdist(to_points(x), "i0", p, strategy), x.shape[0])
 
 
-def cdist(x: Tensor, y: Tensor, p: float = 1.0, strategy: str = "auto") -> Tensor:
-    """Shape x.shape + y.shape."""
+def cdist(x: Tensor | list, y: Tensor | list, p: float = 1.0, strategy: str = "auto") -> Tensor:
+    """Shape x.shape + y.shape, for tensors or lists of functions."""
+    x, y = _listed(x), _listed(y)
     _floats(x)
-    if x.dtype != y.dtype:
+    if 0 not in (*x.shape, *y.shape) and x.dtype != y.dtype:
         raise TypeError(f"{x.dtype} and {y.dtype} don't mix")
     d = pairs.cdist(to_points(x), to_points(y), axes(x.ndim), axes(y.ndim), p, strategy)
     names = {f"j{k}": f"i{x.ndim + k}" for k in range(y.ndim)}
@@ -175,6 +192,17 @@ def element_to_numpy(x: Tensor):
     return np.array([tuple(r) for r in x.item()], x.dtype.numpy).reshape(-1, 2)
 
 
+def n_points(x: Tensor) -> Tensor:
+    """How many breakpoints (or bars) each element has (A6)."""
+    x._need("pcf", "ipcf", "barcode")
+    return Tensor(x.df.withColumn("x", F.size("x").cast("bigint")), x.shape, "int64")
+
+
+def to_string(x: Tensor) -> str:
+    """One element's (time, value) or (birth, death) rows as text."""
+    return "[" + ", ".join(f"({a:g}, {b:g})" for a, b in element_to_numpy(x)) + "]"
+
+
 def to_bars(x: Tensor):
     x._need("barcode")
     return x.df.select(*axes(x.ndim), F.inline("x"))

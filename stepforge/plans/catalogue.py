@@ -8,7 +8,7 @@ import numpy as np
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stepforge import api
+from stepforge import api, dtypes
 from stepforge.functions.numeric import INF
 from stepforge.operators import barcodes, homology, matrices, pairs, steps
 from stepforge.sources import construct, random as rnd, storage
@@ -61,11 +61,10 @@ def user_tensor(spark: SparkSession, sf_dir: str) -> Tensor:
 
 def type_user_points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, tuple[int, int]]:
     """(i0, i1, t, v): one function for each event type and user; absent pairs are zero functions."""
-    ev = _read(spark, sf_dir, "events").withColumn("pair", F.concat_ws("|", "event_type", F.col("user_id").cast("string")))
-    points = construct.points_from_events(ev, "pair")
+    ev = _read(spark, sf_dir, "events")
+    points = construct.points_from_events(ev, ["event_type", "user_id"])
     kinds, users = construct.rank_axis(ev, "event_type"), construct.rank_axis(ev, "user_id", "i1")
-    named = points.withColumns({"event_type": F.substring_index("pair", "|", 1), "user_id": F.substring_index("pair", "|", -1).cast("bigint")})
-    return named.join(kinds, "event_type").join(users, "user_id").select("i0", "i1", "t", "v"), (kinds.count(), users.count())
+    return points.join(kinds, "event_type").join(users, "user_id").select("i0", "i1", "t", "v"), (kinds.count(), users.count())
 
 
 _TYPES = """
@@ -137,15 +136,9 @@ def eval_grid(spark, d):
     return user_tensor(spark, d)(np.arange(13) * 2.5).df
 
 
-@query(f"WITH {_USERS}, q AS (SELECT i AS k, i * 0.003::DOUBLE AS time FROM range(11000) t(i)) SELECT k, v FROM s JOIN q ON l <= time AND time < r WHERE i0 < 3 ORDER BY ALL")
+@query(f"WITH {_USERS}, q AS (SELECT i AS k, i * 0.003::DOUBLE AS time FROM range(11000) t(i)) SELECT i0, k, v FROM s JOIN q ON l <= time AND time < r")
 def eval_many_times(spark, d):
-    times = spark.range(11000).select(F.col("id").alias("k"), (F.col("id") * 0.003).alias("time"))
-    return steps.evaluate_at(user_points(spark, d).where("i0 < 3"), ["i0"], times).select("k", "v")
-
-
-@query()
-def eval_many_times_all(spark, d):
-    """All users at the times of eval_many_times, which its SQL holds to three users."""
+    """All users at many times."""
     times = spark.range(11000).select(F.col("id").alias("k"), (F.col("id") * 0.003).alias("time"))
     return steps.evaluate_at(user_points(spark, d), ["i0"], times).select("i0", "k", "v")
 
@@ -246,6 +239,14 @@ def mean_all(spark, d):
     return steps.mean(p, [], "i0", p.select("i0").distinct().count()).select(_r("t"), _r("v"))
 
 
+@query(ORACLE_SQL["mean_all"])
+def mean_small_values(spark, d):
+    """Mean over all users of values of the size 1e-20, shown 1e20 times as large."""
+    p = user_points(spark, d)
+    out = steps.mean(p.withColumn("v", F.col("v") * 1e-20), [], "i0", p.select("i0").distinct().count())
+    return out.select(_r("t"), _r(F.col("v") * 1e20, "v"))
+
+
 @query(f"WITH {_TYPES} SELECT i1 AS i0, round(max(t), 6) AS x FROM p GROUP BY i1")
 def max_time_dim0(spark, d):
     points, shape = type_user_points(spark, d)
@@ -303,27 +304,13 @@ def pdist_l2(spark, d):
     return pairs.pdist(user_points(spark, d), p=2.0).select("i", "j", _r("d"))
 
 
-@query(_pair_sql(f"round(sum({_W} * abs(f.v - g.v)), 6) AS d", "f.i0 % 10 = 0 AND g.i0 % 10 = 1").replace("f.i0 AS i, g.i0 AS j", "f.i0 // 10 AS i0, g.i0 // 10 AS j0"))
-def cdist_l1(spark, d):
-    """Users whose rank ends in 0 against those whose rank ends in 1."""
-    p = user_points(spark, d)
-    part = lambda k: p.where(F.col("i0") % 10 == k).withColumn("i0", F.floor(F.col("i0") / 10))
-    return pairs.cdist(part(0), part(1), ["i0"], ["i0"]).select("i0", "j0", _r("d"))
-
-
 @query(_pair_sql(f"round(sum({_W} * f.v * g.v), 4) AS k", "f.i0 <= g.i0"))
 def l2_kernel(spark, d):
     return pairs.l2_kernel(user_points(spark, d)).select("i", "j", _r("k", digits=4))
 
 
-@query(_pair_sql(f"round(sum({_W} * f.v * g.v), 4) AS k", "f.i0 % 10 = 0 AND g.i0 % 10 = 1"))
-def l2_cross_kernel(spark, d):
-    p = user_points(spark, d)
-    return pairs.l2_cross_kernel(p.where(F.col("i0") % 10 == 0), p.where(F.col("i0") % 10 == 1)).select("i", "j", _r("k", digits=4))
-
-
 @query(_pair_sql(f"round(sum({_W} * abs(f.v - g.v)), 6) AS d", "f.i0 % 2 = 0 AND g.i0 % 2 = 1").replace("f.i0 AS i, g.i0 AS j", "f.i0 // 2 AS i0, g.i0 // 2 AS j0"))
-def cdist_l1_all(spark, d):
+def cdist_l1(spark, d):
     """Users of even rank against those of odd rank: every user takes part."""
     p = user_points(spark, d)
     part = lambda k: p.where(F.col("i0") % 2 == k).withColumn("i0", F.floor(F.col("i0") / 2))
@@ -331,7 +318,7 @@ def cdist_l1_all(spark, d):
 
 
 @query(_pair_sql(f"round(sum({_W} * f.v * g.v), 4) AS k", "f.i0 % 2 = 0 AND g.i0 % 2 = 1"))
-def l2_cross_kernel_all(spark, d):
+def l2_cross_kernel(spark, d):
     """Users of even rank against those of odd rank."""
     p = user_points(spark, d)
     return pairs.l2_cross_kernel(p.where(F.col("i0") % 2 == 0), p.where(F.col("i0") % 2 == 1)).select("i", "j", _r("k", digits=4))
@@ -374,7 +361,7 @@ _bar_query("apf", barcodes.accumulated_persistence, _APF, False)
 _bar_query("apf_max_death", barcodes.accumulated_persistence, _APF + " AND death <= 20000", True, max_death=20000.0)
 
 
-@query(f"WITH {_bars_sql()}, x AS (SELECT birth, death FROM b WHERE o_orderpriority = '1-URGENT') SELECT true AS same, (SELECT count(*) FROM (SELECT birth, death + 1 FROM x EXCEPT ALL SELECT * FROM x)) = 0 AS moved")
+@query(f"WITH {_bars_sql()}, x AS (SELECT o_orderpriority, birth, death FROM b) SELECT (SELECT count(*) FROM (FROM x EXCEPT ALL (FROM x ORDER BY death DESC))) = 0 AS same, (SELECT count(*) FROM (SELECT o_orderpriority, birth, death + 1 FROM x EXCEPT ALL FROM x)) = 0 AS moved")
 def barcode_isomorphic(spark, d):
     """Every priority's barcode against itself in another order, and against itself with deaths moved."""
     b = bars(spark, d)
@@ -383,15 +370,6 @@ def barcode_isomorphic(spark, d):
     return spark.createDataFrame([(barcodes.is_isomorphic(b, b.orderBy(F.desc("death")), keys), barcodes.is_isomorphic(b, moved, keys))], "same boolean, moved boolean")
 
 
-@query(f"WITH {_bars_sql()} SELECT row_number() OVER (ORDER BY birth DESC, death - birth DESC) AS n, birth, death FROM b ORDER BY n LIMIT 100")
-def bar_order_top(spark, d):
-    """The first 100 bars in drawing order."""
-    top = barcodes.bar_order(bars(spark, d)).limit(100)
-    from pyspark.sql import Window
-
-    return top.withColumn("n", F.row_number().over(Window.orderBy(F.desc("birth"), F.desc(F.col("death") - F.col("birth"))))).select("n", "birth", "death")
-
-
 @query(f"WITH {_bars_sql()} SELECT row_number() OVER (ORDER BY birth DESC, death - birth DESC) AS n, birth, death FROM b")
 def bar_order(spark, d):
     """The rank of every bar in drawing order."""
@@ -521,7 +499,7 @@ def _counted(t: Tensor) -> Tensor:
     return Tensor(t.df.withColumn("x", F.col("i0").cast("double")), t.shape, t.dtype)
 
 
-@query(f"WITH {_GRID} SELECT true AS same, false AS other, true AS near, false AS far, (SELECT bool_or(x > 20) FROM g) AS some, (SELECT bool_and(x >= 0) FROM g) AS every")
+@query(f"WITH {_GRID} SELECT (SELECT bool_and(a.x = b.x) FROM g a JOIN g b USING (i0, i1)) AS same, (SELECT bool_and(a.x = b.x + 1) FROM g a JOIN g b USING (i0, i1)) AS other, (SELECT bool_and(abs(a.x - (b.x + 1e-9)) <= 1e-8 + 1e-5 * abs(b.x + 1e-9)) FROM g a JOIN g b USING (i0, i1)) AS near, (SELECT bool_and(abs(a.x - (b.x + 1)) <= 1e-8 + 1e-5 * abs(b.x + 1)) FROM g a JOIN g b USING (i0, i1)) AS far, (SELECT bool_or(x > 20) FROM g) AS some, (SELECT bool_and(x >= 0) FROM g) AS every")
 def tensor_questions(spark, d):
     g = grid(spark, d)
     row = (g.array_equal(g.copy()), g.array_equal(g + 1), allclose(g, g + 1e-9), allclose(g, g + 1), g.any_of(lambda x: x > 20), g.all_of(lambda x: x >= 0))
@@ -555,19 +533,9 @@ def pdist_dense(spark, d):
     return api.pdist(user_tensor(spark, d)).to_dense().select("i", "j", _r("v"))
 
 
-@query(_pair_sql(f"round(sum({_W} * abs(f.v - g.v)), 6) AS v", "f.i0 > g.i0 AND f.i0 < 20").replace("f.i0 AS i, g.i0 AS j,", "0::BIGINT AS i0, f.i0 AS i, g.i0 AS j,"))
+@query(_pair_sql(f"round(sum({_W} * abs(f.v - g.v)), 6) AS v", "f.i0 > g.i0").replace("f.i0 AS i, g.i0 AS j,", "0::BIGINT AS i0, f.i0 AS i, g.i0 AS j,"))
 def matrix_tensor_cells(spark, d):
     """A tensor of matrices, from a dense square that is checked on the way, as triangle cells."""
-    p = user_points(spark, d).where("i0 < 20")
-    n = p.select("i0").distinct().count()
-    whole = matrices.DistanceMatrix(pairs.pdist(p), n).to_dense()
-    m = matrices.DistanceMatrix.from_dense(whole, n)
-    return matrices.matrix_cells(matrices.stack_matrices([m])).select("i0", "i", "j", _r("v"))
-
-
-@query(_pair_sql(f"round(sum({_W} * abs(f.v - g.v)), 6) AS v", "f.i0 > g.i0").replace("f.i0 AS i, g.i0 AS j,", "0::BIGINT AS i0, f.i0 AS i, g.i0 AS j,"))
-def matrix_tensor_cells_all(spark, d):
-    """matrix_tensor_cells over all users; its SQL holds it to twenty."""
     p = user_points(spark, d)
     n = p.select("i0").distinct().count()
     m = matrices.DistanceMatrix.from_dense(matrices.DistanceMatrix(pairs.pdist(p), n).to_dense(), n)
@@ -579,7 +547,13 @@ def save_load(spark, d):
     """A tensor saved and loaded."""
     import uuid
 
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or "/tmp/checkpoints"
+    import tempfile
+
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="tensors-")
     path = f"{root.rstrip('/')}/tensor-{uuid.uuid4().hex}"
     storage.save(grid(spark, d), path)
     return storage.load(spark, path).df
@@ -596,3 +570,57 @@ def noisy_functions(spark, d):
 def poisson_clouds(spark, d):
     x = rnd.sample_poisson(spark, (10,), 2, 25.0, generator=rnd.Generator(7))
     return x.df.select("i0", F.size("x").alias("points"))
+
+
+# ---- objects and their parts -------------------------------------------------------------------------------------------
+
+@query(f"WITH {_USERS} SELECT i0, count(*) AS x FROM p GROUP BY i0")
+def points_of_functions(spark, d):
+    """How many breakpoints each user's function has (A6)."""
+    return api.n_points(user_tensor(spark, d)).df
+
+
+@query("SELECT * FROM (VALUES (0::BIGINT, 0::BIGINT, 0.0::DOUBLE, 3.0::DOUBLE), (0, 0, 1, 2), (0, 0, 4, 5), (0, 1, 0, 2), (0, 1, 3, 4), (1, 0, 0, 0), (1, 1, 0, 1), (1, 1, 2.5, -1)) q(i0, i1, t, v)")
+def nested_functions(spark, d):
+    """Functions from nested lists, one of them with its points out of order, one empty (A1, A4)."""
+    x = construct.pcf_tensor(spark, [[[(0, 3), (4, 5), (1, 2)], [(0, 2), (3, 4)]], [[(0, 0)], [(0, 1), (2.5, -1)]]], "pcf64")
+    return to_points(x)
+
+
+@query("SELECT * FROM (VALUES (0::BIGINT, 0.0::DOUBLE, 2.0::DOUBLE), (0, 1, 'Infinity'::DOUBLE), (1, 0.5, 1.5)) q(i0, birth, death)")
+def nested_barcodes(spark, d):
+    """Barcodes from nested lists, one of them empty (S4)."""
+    return api.to_bars(construct.barcode_tensor(spark, [[(0, 2), (1, INF)], [(0.5, 1.5)], []]))
+
+
+@query(f"WITH {_GRID} SELECT i0, i1, trunc(x)::BIGINT / 3.0::DOUBLE AS x FROM g")
+def integer_divide(spark, d):
+    """Whole numbers divide to floats (T7)."""
+    return (grid(spark, d).astype("int64") / 3).df
+
+
+@query(f"WITH {_GRID} SELECT (x <> 0) AS b, x AS f, trunc(x)::BIGINT AS i FROM g WHERE i0 = 1 AND i1 = 2")
+def single_values(spark, d):
+    """One element as a Python value of each kind (T10)."""
+    one = grid(spark, d)[1, 2]
+    return spark.createDataFrame([(bool(one), float(one), int(one))], "b boolean, f double, i bigint")
+
+
+@query(f"WITH {_GRID} SELECT (max(i0) + 1)::BIGINT AS rows, (max(i1) + 1)::BIGINT AS columns, count(*)::BIGINT AS size, 2::BIGINT AS axes, (max(i1) + 1)::BIGINT AS stride FROM g")
+def tensor_metadata(spark, d):
+    """What a tensor knows of itself (I12)."""
+    g = grid(spark, d)
+    return spark.createDataFrame([(len(g), g.shape[1], g.size, g.ndim, g.strides[0])], "rows bigint, columns bigint, size bigint, axes bigint, stride bigint")
+
+
+@query(f"WITH {_GRID} SELECT i0, i1, sum(x) AS x FROM g GROUP BY ALL")
+def numpy_round_trip(spark, d):
+    """A tensor out to NumPy and back (A5), with the NumPy type behind its dtype (X5)."""
+    g = grid(spark, d)
+    return construct.from_numpy(spark, g.to_numpy().astype(dtypes.numpy_type(g.dtype))).df
+
+
+@query(_pair_sql(f"round(sum({_W} * f.v * g.v), 4) AS v", "true"))
+def kernel_dense(spark, d):
+    """The whole square of a symmetric matrix (M3)."""
+    return api.l2_kernel(user_tensor(spark, d)).to_dense().select("i", "j", _r("v", digits=4))

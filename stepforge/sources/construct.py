@@ -83,6 +83,11 @@ def _frame(spark: SparkSession, shape: Sequence[int], values: list, d) -> Tensor
     return Tensor(spark.createDataFrame([(*i, v) for i, v in zip(idx, values, strict=True)], schema), shape, d)
 
 
+def from_elements(spark: SparkSession, shape: Sequence[int], elements: list, dtype) -> Tensor:
+    """From elements in row-major order, each as a row of its Spark type."""
+    return _frame(spark, tuple(shape), elements, as_dtype(dtype))
+
+
 def _typed(rows, d):
     cast = int if d.numpy.startswith("int") else float
     return [(cast(a), cast(b)) for a, b in rows]
@@ -243,13 +248,14 @@ def rank_axis(df: DataFrame, col: str, name: str = "i0") -> DataFrame:
     return numbered(df.select(col).distinct(), [col], name)
 
 
-def points_from_events(events: DataFrame, entity: str = "user_id", ts: str = "ts", value: str = "value", order: str = "event_id") -> DataFrame:
+def points_from_events(events: DataFrame, entity: str | Sequence[str] = "user_id", ts: str = "ts", value: str = "value", order: str = "event_id") -> DataFrame:
     """(entity, t, v): one function for each entity, t in days since its first event, the last value 0 (finite support)."""
+    keys = [entity] if isinstance(entity, str) else list(entity)
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(entity)
+    w = Window.partitionBy(*keys)
     last = F.row_number().over(w.orderBy(F.desc(ts), F.desc(order))) == 1
     t = (F.col("__us") - F.min("__us").over(w)) / F.lit(86_400_000_000.0)
-    return events.withColumn("__us", us).select(entity, t.alias("t"), F.when(last, F.lit(0.0)).otherwise(F.col(value)).alias("v"))
+    return events.withColumn("__us", us).select(*keys, t.alias("t"), F.when(last, F.lit(0.0)).otherwise(F.col(value)).alias("v"))
 
 
 def reindexed(df: DataFrame, old: Sequence[int], new: Sequence[int]) -> DataFrame:

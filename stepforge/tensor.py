@@ -44,6 +44,31 @@ def unflatten(flat: Column, shape: Sequence[int]) -> dict[str, Column]:
     return {f"i{k}": out[f"i{k}"] for k in range(len(shape))}
 
 
+def packed(df: DataFrame) -> tuple[str, bytes]:
+    """A frame's schema and its rows as an Arrow stream."""
+    import pyarrow as pa
+
+    table, out = df.toArrow(), pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as stream:
+        stream.write_table(table)
+    return df.schema.json(), out.getvalue().to_pybytes()
+
+
+def unpacked(schema: str, rows: bytes) -> DataFrame:
+    """The frame of `packed`, in the session that is active."""
+    import json
+
+    import pyarrow as pa
+
+    from pyspark.sql.types import StructType
+
+    return SparkSession.builder.getOrCreate().createDataFrame(pa.ipc.open_stream(rows).read_all(), StructType.fromJson(json.loads(schema)))
+
+
+def _unpickled(kind, schema: str, rows: bytes, shape, dtype) -> Tensor:
+    return kind(unpacked(schema, rows), shape, dtype)
+
+
 def broadcast_shapes(a: Sequence[int], b: Sequence[int]) -> tuple[int, ...]:
     out = []
     for x, y in itertools.zip_longest(reversed(a), reversed(b), fillvalue=1):
@@ -164,6 +189,10 @@ class Tensor:
     def __deepcopy__(self, memo) -> Tensor:
         return self.copy()
 
+    def __reduce__(self):
+        """Pickled as its cells (A9), which pass through the driver: for tensors that fit there."""
+        return _unpickled, (type(self), *packed(self.df), self.shape, self.dtype.name)
+
     def _axis(self, a: int, n: int | None = None) -> int:
         n = self.ndim if n is None else n
         if not -n <= a < n:

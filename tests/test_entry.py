@@ -80,18 +80,18 @@ def pair_integral(f, g, op):
 
 def test_all_users_at_many_times_and_in_matrices(spark, tmp_path):
     f = small_events(spark, tmp_path)
-    got = catalogue.QUERIES["eval_many_times_all"](spark, str(tmp_path)).toPandas()
+    got = catalogue.QUERIES["eval_many_times"](spark, str(tmp_path)).toPandas()
     assert len(got) == 25 * 11000 and not got.duplicated(["i0", "k"]).any()
     assert all(value_at(f[r.i0], r.k * 0.003) == r.v for r in got[got["k"] % 97 == 0].itertuples())
-    cells = {(r["i"], r["j"]): r["v"] for r in catalogue.QUERIES["matrix_tensor_cells_all"](spark, str(tmp_path)).collect()}
+    cells = {(r["i"], r["j"]): r["v"] for r in catalogue.QUERIES["matrix_tensor_cells"](spark, str(tmp_path)).collect()}
     assert set(cells) == {(i, j) for i in range(25) for j in range(i)}
     assert all(abs(v - pair_integral(f[i], f[j], lambda x, y: abs(x - y))) < 1e-5 for (i, j), v in cells.items())
 
 
 def test_cross_pairs_of_all_users(spark, tmp_path):
     f = small_events(spark, tmp_path)
-    d = {(2 * r["i0"], 2 * r["j0"] + 1): r["d"] for r in catalogue.QUERIES["cdist_l1_all"](spark, str(tmp_path)).collect()}
-    k = {(r["i"], r["j"]): r["k"] for r in catalogue.QUERIES["l2_cross_kernel_all"](spark, str(tmp_path)).collect()}
+    d = {(2 * r["i0"], 2 * r["j0"] + 1): r["d"] for r in catalogue.QUERIES["cdist_l1"](spark, str(tmp_path)).collect()}
+    k = {(r["i"], r["j"]): r["k"] for r in catalogue.QUERIES["l2_cross_kernel"](spark, str(tmp_path)).collect()}
     assert set(d) == set(k) == {(i, j) for i in range(0, 25, 2) for j in range(1, 25, 2)}
     assert all(abs(v - pair_integral(f[i], f[j], lambda x, y: abs(x - y))) < 1e-5 for (i, j), v in d.items())
     assert all(abs(v - pair_integral(f[i], f[j], lambda x, y: x * y)) < 1e-3 for (i, j), v in k.items())
