@@ -13,7 +13,7 @@ from stepforge.functions.numeric import INF
 from stepforge.operators import barcodes, pairs, steps
 from stepforge.operators.homology import persistent_homology
 from stepforge.operators.matrices import DistanceMatrix, SymmetricMatrix, stack_matrices
-from stepforge.sources.construct import point_clouds, stack, zeros
+from stepforge.sources.construct import pcf_tensor, point_clouds, stack, zeros
 from stepforge.tensor import Tensor, allclose, axes, from_points, to_points  # noqa: F401
 
 
@@ -119,18 +119,24 @@ def _one_axis(x: Tensor) -> None:
 
 
 def _listed(x) -> Tensor:
-    """A tensor, or a list of single functions as one; an empty list is a tensor of shape (0,)."""
+    """A tensor, or a list of single functions as one: tensors of one element, or elements as indexing gives them (rows of
+    time and value, taken as pcf64). An empty list is a tensor of shape (0,)."""
     if isinstance(x, Tensor):
         return x
-    x = list(x)
-    for f in x:
-        if not isinstance(f, Tensor):
-            raise TypeError("a tensor or a list of functions is asked for")
+    x = [f if isinstance(f, Tensor) else _element(f) for f in x]
     if len({f.dtype.name for f in x}) > 1:
         raise TypeError("functions of one type are asked for")
     return stack([f.reshape(()) for f in x]) if x else zeros(_session(), (0,), "pcf64")
 
 
+def _element(rows) -> Tensor:
+    try:
+        pairs_ = [(float(t), float(v)) for t, v in rows]
+    except (TypeError, ValueError) as e:
+        raise TypeError("a tensor or a list of functions is asked for") from e
+    return pcf_tensor(_session(), [pairs_], "pcf64")
+
+
 def _session():
     from pyspark.sql import SparkSession
 

@@ -91,7 +91,8 @@ def test_lists_of_functions(spark):
     assert api.pdist([]).size == 0 and api.cdist(fs, []).shape == (2, 0) and api.lp_norm([]).shape == (0,)
     with pytest.raises(TypeError):
         api.pdist([x[0], 3])
-    assert api.to_string(x[1]) == "[(0, 5), (6, 0)]" and api.n_points(x).to_numpy().tolist() == [3, 2]
+    assert api.pdist([x[0:1], x[1]]).to_numpy().tolist() == api.pdist(x).to_numpy().tolist()
+    assert api.to_string(x[1:2]) == "[(0, 5), (6, 0)]" and api.n_points(x).to_numpy().tolist() == [3, 2]
 
 
 def as_file(tmp_path, version, kind, code, body):
@@ -112,7 +113,7 @@ def test_binary_files(spark, tmp_path):
     assert [int(v) for v in load(2, 1, (3, 64), shape(1) + np.array([2**63 + 5], "u8").tobytes()).df.toPandas()["x"]] == [2**63 + 5]
     one = struct.pack("<Q", 2) + np.array([0.0, 3.0, 1.5, 0.0], "f4").tobytes()
     f = load(2, 1, (100, 32), shape(2) + one + struct.pack("<Q", 1) + np.zeros(2, "f4").tobytes())
-    assert f.shape == (2,) and api.element_to_numpy(f[0]).tolist() == [[0, 3], [1.5, 0]]
+    assert f.shape == (2,) and api.element_to_numpy(f[0:1]).tolist() == [[0, 3], [1.5, 0]]
     assert api.element_to_numpy(load(1, 2, (100, 32), one)).tolist() == [[0, 3], [1.5, 0]]
     bars = load(2, 2, (10000, 64), struct.pack("<Q", 1) + np.array([0.0, np.inf]).tobytes())
     assert api.element_to_numpy(bars).tolist() == [[0, np.inf]]
