@@ -115,6 +115,28 @@ def test_h0_bars_from_pairs(spark):
     assert np.allclose(got, [b[1] for b in sorted(homology.rips_barcodes(d, 0, True)[0])])
 
 
+def test_forests_of_parts_merge_to_the_smallest_tree(spark, monkeypatch):
+    monkeypatch.setattr(homology, "FOREST_EDGES", 40)
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for k, n in enumerate((30, 7, 2)):
+        d = np.floor(homology.distances(rng.normal(size=(n, 2))) * 4)  # with ties and zeros
+        rows += [(k, f"v{i}", f"v{j}", float(d[i, j])) for i in range(n) for j in range(i)]
+        tree, out = {0}, []
+        while len(tree) < n:  # the nearest vertex outside, one by one
+            w, j = min((d[i, j], j) for i in tree for j in range(n) if j not in tree)
+            tree.add(j)
+            out.append(float(w))
+        want[k] = sorted(w for w in out if w > 0)
+    got = {k: [] for k in want}
+    for r in homology.h0_bars(spark.createDataFrame(rows, "k int, i string, j string, d double"), ["k"]).collect():
+        got[r["k"]].append(r["death"])
+        assert r["birth"] == 0
+    assert {k: sorted(v) for k, v in got.items()} == want
+    some = spark.createDataFrame(rows, "k int, i string, j string, d double").where("k = 1").select("i", "j", "d")
+    assert sorted(r["death"] for r in homology.h0_bars(some, []).collect()) == want[1] and homology.h0_bars(some.limit(0), []).count() == 0
+
+
 def test_clouds_to_distances_end_to_end(spark):
     clouds = R.sample_poisson(spark, (5,), 2, 12.0, generator=R.Generator(3))
     h = api.compute_persistent_homology(clouds, 1)
