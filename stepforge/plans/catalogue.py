@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import uuid
+
 from collections.abc import Callable
 
 import numpy as np
@@ -388,7 +391,15 @@ def _clouds(spark, d) -> Tensor:
     return Tensor(df, (ranks.count(),), "pcloud64")
 
 
-@query()
+@query("""WITH RECURSIVE v AS (SELECT dense_rank() OVER (ORDER BY label) - 1 AS i0, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT i0, vec_id, e, list_distance(e, first_value(e) OVER w) AS d FROM v WINDOW w AS (PARTITION BY i0 ORDER BY vec_id)
+      QUALIFY row_number() OVER w > 1),
+g AS (SELECT 1 AS step, i0, vec_id, e, d, first_value(vec_id) OVER w AS pick, first_value(e) OVER w AS spot, min(d) OVER w AS least FROM s WINDOW w AS (PARTITION BY i0 ORDER BY d, vec_id)
+      UNION ALL
+      SELECT step, i0, vec_id, e, d, first_value(vec_id) OVER w, first_value(e) OVER w, min(d) OVER w
+      FROM (SELECT step + 1 AS step, i0, vec_id, e, least(d, list_distance(e, spot)) AS d FROM g WHERE vec_id <> pick) WINDOW w AS (PARTITION BY i0 ORDER BY d, vec_id))
+SELECT i0, 0::BIGINT AS i1, 0.0::DOUBLE AS birth, round(least, 6) AS death FROM g WHERE vec_id = pick AND least > 0
+UNION ALL SELECT DISTINCT i0, 0, 0.0, 'Infinity'::DOUBLE FROM v""")
 def rips_h0(spark, d):
     """Dimension 0 of each label's whole cloud."""
     h = homology.persistent_homology(_clouds(spark, d), max_dim=0)
@@ -545,16 +556,7 @@ def matrix_tensor_cells(spark, d):
 @query(f"WITH {_GRID} SELECT i0, i1, x FROM g")
 def save_load(spark, d):
     """A tensor saved and loaded."""
-    import uuid
-
-    import tempfile
-
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="tensors-")
-    path = f"{root.rstrip('/')}/tensor-{uuid.uuid4().hex}"
+    path = f"{storage.shared_root(spark)}/tensor-{uuid.uuid4().hex}"
     storage.save(grid(spark, d), path)
     return storage.load(spark, path).df
 
@@ -566,6 +568,26 @@ def noisy_functions(spark, d):
     return to_points(api.mean(x, 1)).select("i0", _r("t"), _r("v"))
 
 
+@query("SELECT i AS i0, j AS i1, 20 AS points, 0.0::DOUBLE AS first, 0.0::DOUBLE AS final, 20 AS times, true AS rising, true AS inside, true AS near FROM range(4) a(i), range(25) b(j)")
+def noisy_support(spark, d):
+    """What holds for every random function: how many breakpoints, where they lie, and how far values are from the sine."""
+    x = rnd.noisy_sin(spark, (4, 25), 20, "pcf64", rnd.Generator(7)).df
+    t, last = F.transform("x", lambda p: p["t"]), F.element_at("x", -1)
+    near = F.forall(F.slice("x", 1, 19), lambda p: F.abs(p["v"] - F.sin(2 * math.pi * p["t"])) < 1.0)  # ten deviations
+    return x.select(
+        "i0", "i1", F.size("x").alias("points"), F.col("x")[0]["t"].alias("first"), last["v"].alias("final"), F.size(F.array_distinct(t)).alias("times"),
+        (t == F.array_sort(t)).alias("rising"), F.forall(t, lambda v: (v >= 0) & (v < 1)).alias("inside"), near.alias("near"),
+    )
+
+
+@query("SELECT i AS i0, true AS inside, true AS plane, true AS likely FROM range(10) a(i)")
+def poisson_support(spark, d):
+    """What holds for every cloud: points of the plane inside the box, and a number within six deviations of the rate."""
+    x = rnd.sample_poisson(spark, (10,), 2, 25.0, [1.0, 2.0], [2.0, 4.0], rnd.Generator(7)).df
+    inside = F.forall("x", lambda p: (p[0] >= 1) & (p[0] < 2) & (p[1] >= 2) & (p[1] < 4))
+    return x.select("i0", inside.alias("inside"), F.forall("x", lambda p: F.size(p) == 2).alias("plane"), (F.abs(F.size("x") - 50) <= 6 * math.sqrt(50)).alias("likely"))
+
+
 @query()
 def poisson_clouds(spark, d):
     x = rnd.sample_poisson(spark, (10,), 2, 25.0, generator=rnd.Generator(7))

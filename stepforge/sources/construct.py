@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from stepforge import dtypes
 from stepforge.dtypes import dtype as as_dtype
+from stepforge.sources.storage import shared_root
 from stepforge.tensor import Tensor, axes, cells, flat_index, unflatten
 
 
@@ -223,24 +224,18 @@ NUMBERED_ROWS = 1_000_000
 
 
 def numbered(df: DataFrame, order: Sequence[str], name: str, rows: int | None = None) -> DataFrame:
-    """df with each row's rank from 0 by the order columns. Many rows are cut into ranges at sampled values: ranks are the
-    rows of earlier ranges plus the rank within a range, so that no task sorts all."""
+    """df with each row's rank from 0 by the order columns. Many rows are sorted in ranges, which a checkpoint in the shared folder
+    fixes: a rank is the rows of earlier ranges plus the place in its own, so that no task sorts all."""
     n = df.count() if rows is None else rows
     parts = -(-n // NUMBERED_ROWS)
     if parts <= 1:
         return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint"))
-    key = F.struct(*order)
-    share = min(1.0, 20 * parts / n)  # about twenty sampled rows a range
-    h = F.shiftrightunsigned(F.xxhash64(*order), 24)
-    sample = sorted(tuple(r) for r in df.where(h < int(share * (1 << 40))).select(*order).distinct().collect())
-    cuts = sorted({sample[len(sample) * k // parts] for k in range(1, parts)}) if sample else []
-    kinds = [df.schema[c].dataType for c in order]
-    bounds = F.array(*[F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(cut, kinds, order, strict=True)]) for cut in cuts])
-    part = df.withColumn("__part", F.size(F.filter(bounds, lambda b: b <= key)) if cuts else F.lit(0))
-    counts = part.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = counts.withColumn("__e", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).drop("__n")
-    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    return part.join(before, "__part").withColumn(name, (F.col("__e") + own).cast("bigint")).drop("__part", "__e")
+    shared_root(df.sparkSession)  # names the folder where the session has none
+    ranges = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()).checkpoint()
+    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)  # how these ids are made up
+    counts = ranges.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))  # a row a range
+    before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__e"))
+    return ranges.withColumn("__part", part).join(before, "__part").withColumn(name, F.col("__e") + place).drop("__part", "__e", "__id")
 
 
 def rank_axis(df: DataFrame, col: str, name: str = "i0") -> DataFrame:
