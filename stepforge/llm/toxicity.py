@@ -49,6 +49,20 @@ def _holders(texts) -> np.ndarray:
     return out
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def risk_gradients(fp: np.ndarray, fu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients of the risk in logistic loss by the margins of positive and of unlabelled texts; where its second part, the
+    risk of the negatives, is below zero, they are those of that part alone turned round, which raise it again."""
+    negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+    gu, gp = _sigmoid(fu) / len(fu), -prior * _sigmoid(fp) / len(fp)
+    if negative < 0:
+        return -gp, -gu
+    return gp - prior * _sigmoid(-fp) / len(fp), gu
+
+
 def least_risk_cut(fp: np.ndarray, fu: np.ndarray, prior: float) -> float:
     """The cut with the least non-negative risk in zero-one loss, prior * P_p(f < cut) + max(0, P_u(f >= cut) - prior *
     P_p(f >= cut)), over the margins of positive and unlabelled texts: the middle of the widest gap that has it."""
@@ -90,7 +104,6 @@ class NonNegativePU:
         self.w, self.bias = np.zeros(len(known) + 1), -2.0
         rng = np.random.default_rng(SEED)
         m, v, step = np.zeros(len(self.w) + 1), np.zeros(len(self.w) + 1), 0
-        sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
         mean_w, mean_bias, averaged = np.zeros_like(self.w), 0.0, 0
         for epoch in range(EPOCHS):
             order = rng.permutation(n_u)
@@ -99,12 +112,7 @@ class NonNegativePU:
                 iu, vu, du = self._rows(u, ru)
                 ip, vp, dp = self._rows(p, rp)
                 fu, fp = self._margin(iu, vu, du, len(ru)), self._margin(ip, vp, dp, len(rp))
-                negative = np.logaddexp(0, fu).mean() - self.prior * np.logaddexp(0, fp).mean()
-                gu, gp_neg, gp_pos = sig(fu) / len(ru), -self.prior * sig(fp) / len(rp), -self.prior * sig(-fp) / len(rp)
-                if negative < 0:
-                    gu, gp = -gu, -gp_neg
-                else:
-                    gp = gp_neg + gp_pos
+                gp, gu = risk_gradients(fp, fu, self.prior)
                 g = np.bincount(iu, gu[du] * vu, len(self.w)) + np.bincount(ip, gp[dp] * vp, len(self.w)) + L2 * self.w
                 g = np.append(g, gu.sum() + gp.sum())
                 step += 1
@@ -143,7 +151,7 @@ class NonNegativePU:
         for lo, hi in batches_by_bytes(texts):
             d = self._known(features(texts[lo:hi]))
             f = self._margin(*self._rows(d, np.arange(hi - lo)), hi - lo)
-            out.append(1 / (1 + np.exp(-np.clip(4 * (f - self.cut) / self.scale + np.log(CUT / (1 - CUT)), -30, 30))))
+            out.append(_sigmoid(4 * (f - self.cut) / self.scale + np.log(CUT / (1 - CUT))))
         return np.concatenate(out) if out else np.empty(0)
 
 

@@ -209,6 +209,21 @@ def test_pattern_plan_places_every_length_once():
         assert placed == {k: v for k, v in histogram.items() if v}
 
 
+def test_pattern_plan_equals_packing_piece_by_piece():
+    rng = random.Random(16)
+    for max_len in (10, 64, 300):
+        histogram = {k: rng.choice([0, 0, 1, 2, 9, 40]) for k in range(1, max_len + 1)}
+        packs: list[list[int]] = []
+        for length in sorted((k for k, v in histogram.items() for _ in range(v)), reverse=True):
+            short = min(packs, key=sum, default=None)  # the shortest pack so far
+            if short is None or sum(short) + length > max_len:
+                packs.append([length])
+            else:
+                short.append(length)
+        plan = packing.pattern_plan(histogram, max_len)
+        assert sorted(map(sum, packs)) == sorted(sum(a * b for a, b in items) for count, items in plan for _ in range(count))
+
+
 def test_packing_is_a_gapless_partition(spark):
     rng = random.Random(8)
     texts = TEXTS + [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.choice([3, 40, 400, 3000]))) for _ in range(60)]
@@ -258,6 +273,25 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r["score"] for r in toxicity.score(odd, None).collect()} == {0.0}
 
 
+def test_risk_gradients_by_differences():
+    rng = np.random.default_rng(4)
+    parts = lambda fp, fu, prior: (prior * np.logaddexp(0, -fp).mean(), np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean())
+    seen = set()
+    for prior, shift in ((0.1, 0.0), (0.5, 0.0), (0.8, -2.0)):
+        fp, fu = rng.normal(1.5, 1, 7), rng.normal(shift, 1, 9)
+        below = parts(fp, fu, prior)[1] < 0
+        seen.add(below)
+        goal = lambda a, b: -parts(a, b, prior)[1] if below else sum(parts(a, b, prior))  # noqa: B023, E731
+        gp, gu = toxicity.risk_gradients(fp, fu, prior)
+        for k in range(7):
+            e = np.eye(7)[k] * 1e-5
+            assert abs((goal(fp + e, fu) - goal(fp - e, fu)) / 2e-5 - gp[k]) < 1e-7
+        for k in range(9):
+            e = np.eye(9)[k] * 1e-5
+            assert abs((goal(fp, fu + e) - goal(fp, fu - e)) / 2e-5 - gu[k]) < 1e-7
+    assert seen == {True, False}
+
+
 def test_gru_gradients_by_differences():
     m = language_id.ByteGRU(["a", "b"], hidden=3, seed=1)
     m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
@@ -294,6 +328,33 @@ def test_language_id_on_held_out_rows(spark):
     assert {r["__pred"] for r in language_id.predict(docs, None, ["doc_id"]).collect()} == {"und"}
 
 
+def plain_pooled(m, text, window):
+    """The network a position at a time, in double precision."""
+    p, h_ = {k: v.astype(float) for k, v in m.p.items()}, m.h
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    total = np.zeros(len(m.languages))
+    for s in range(0, len(text), window):
+        part = text[s : s + window]
+        logits = [p["c"].copy() for _ in part]
+        for d in "fb":
+            h = np.zeros(h_)
+            for t in range(len(part)) if d == "f" else reversed(range(len(part))):
+                a, u = p[f"E{d}"][part[t]], h @ p[f"U{d}"]
+                z, r = sig(a[:h_] + u[:h_]), sig(a[h_ : 2 * h_] + u[h_ : 2 * h_])
+                c = np.tanh(a[2 * h_ :] + r * u[2 * h_ :])
+                h = (1 - z) * c + z * h
+                logits[t] += h @ p[f"W{d}"]
+        for x in logits:
+            total += np.exp(x) / np.exp(x).sum()
+    return total / len(text)
+
+
+def test_pooling_equals_a_plain_network():
+    m, rng = language_id.ByteGRU(["a", "b", "c"], seed=3), np.random.default_rng(7)
+    texts = [rng.integers(0, 256, n).astype(np.uint8).tobytes() for n in (1, 5, 63, 64, 65, 300)]
+    assert np.allclose(m.pooled(texts), [plain_pooled(m, t, language_id.WINDOW) for t in texts], atol=1e-5)
+
+
 def test_pooling_does_not_depend_on_the_batch():
     m = language_id.ByteGRU(["a", "b", "c"], seed=2)
     texts = [b"hello there", b"x" * 64, b"y" * 129, b"z"]
@@ -396,6 +457,69 @@ def test_neighbours_beyond_copies_whatever_the_ranges(spark):
         assert sorted((r["page_id"], r["text"]) for r in html_extract.extract(df, ranges).collect()) == want
 
 
+def plain_extract(rows):
+    """(page_id, text) of distinct pages by looking through the whole site for each."""
+
+    def alike(a, b):
+        body = [[x for x in p if not x.out] for p in (a, b)]
+        got = html_extract.common_lines([x.text for x in a], [x.text for x in b])
+        short, long = sorted(sum(len(x.text) for x in p) for p in body)
+        return sum(len(a[i].text) for i in got if not a[i].out) >= min(short, 0.6 * long)
+
+    split = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)")
+    sites, out = {}, []
+    for pid, url, html in rows:
+        m, lines = split.match(url or ""), html_extract.blocks(html or "")
+        host = m[1].lower() if m else ""
+        if host and any(not x.out for x in lines):
+            sites.setdefault(host, []).append((m[2], pid, lines))
+        else:
+            out.append((pid, html_extract.main_text(lines, [])))
+    for site in sites.values():
+        site.sort(key=lambda r: r[:2])
+        pages = [r[2] for r in site]
+        runs = [[0]]
+        for j in range(1, len(pages)):
+            if alike(pages[j - 1], pages[j]):
+                runs[-1].append(j)
+            else:
+                runs.append([j])
+        for k, run in enumerate(runs):
+            for j in run:
+                before = [pages[r[-1]] for r in reversed(runs[:k])][: html_extract.LOOK]
+                after = [pages[r[0]] for r in runs[k + 1 :]][: html_extract.LOOK]
+                near = [next((p for p in side if not alike(pages[j], p)), None) for side in (before, after)]
+                near = [(p, html_extract.common_lines([x.text for x in pages[j]], [x.text for x in p])) for p in near if p is not None]
+                taken = set()
+                for i, x in enumerate(pages[j]):
+                    by = [p for p, got in near if i in got]
+                    need = 2 if x.declared and not x.out else 1
+                    if len(by) == 2 and need == 2 and alike(*by):
+                        continue
+                    if len(by) >= need:
+                        taken.add(i)
+                told = near or not any(x.declared and not x.out for x in pages[j])
+                out.append((site[j][1], "\n".join(x.text for i, x in enumerate(pages[j]) if i not in taken and not x.out and (x.declared or told))))
+    return sorted(out)
+
+
+def test_extraction_equals_a_plain_version(spark):
+    rng = random.Random(21)
+    words = lambda n: " ".join(f"w{rng.randrange(400)}" for _ in range(n))
+    rows, last = [], ""
+    for k in range(150):
+        host = rng.choice(["a.x", "a.x", "b.x", "c.x"])
+        menu, tail = (f"<div>{t} of {host} {rng.randrange(2)}</div>" for t in ("Start page", "All rights"))
+        body = "".join(f"<p>{words(rng.randint(1, 30))}</p>" for _ in range(rng.randint(0, 4))) + rng.choice(["", "<p>read this in our app</p>", "<aside>see also</aside>"])
+        last = last if rng.random() < 0.3 else rng.choice([body, f"<article>{body}</article><p>{words(4)}</p>", f"<main><nav>here</nav>{body}</main>"])
+        rows.append((k, rng.choice([f"http://{host}/p/{rng.randrange(60):03}", f"http://{host}/p/{rng.randrange(60):03}?q", "nowhere", None]) if k % 9 == 0 else f"https://{host}/p/{rng.randrange(60):03}", menu + last + tail))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for ranges in (1, 7):
+        got = html_extract.extract(df, ranges).collect()
+        assert sorted((r["page_id"], r["text"]) for r in got) == plain_extract(rows)
+        assert sum(r["n_shared"] > 0 for r in got) > 100  # differencing decides most pages
+
+
 def test_common_lines_are_a_longest_common_subsequence(monkeypatch):
     rng = random.Random(12)
     for _ in range(100):
