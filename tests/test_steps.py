@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stepforge import api
 from stepforge.functions.numeric import MAX
-from stepforge.operators import pairs, steps
+from stepforge.operators import blocks, pairs, steps
 from stepforge.sources import construct as C, random as R
 from stepforge.tensor import Tensor, from_points, to_points
 
@@ -190,3 +190,47 @@ def test_random_functions_repeat(spark):
 def test_wrapper_knows_its_shape(spark):
     x = C.pcf_tensor(spark, TABLE)
     assert isinstance(x, Tensor) and (x.shape, x.ndim, x.size, len(x), x.strides, x.offset) == ((2, 3), 2, 6, 2, (3, 1), 0)
+
+
+def test_blocks_travel_by_group(spark, monkeypatch):
+    """A block goes to each pair of groups that its own is in, not to each pair of blocks."""
+    monkeypatch.setattr(blocks, "BLOCK_POINTS", 64)
+    monkeypatch.setattr(blocks, "BLOCK_FUNCTIONS", 4)
+    monkeypatch.setattr(blocks, "GROUP_BLOCKS", 5)
+    x = to_points(R.noisy_sin(spark, (60,), 16, "pcf64", R.Generator(5)))
+    count, most, _ = blocks.extent(x, ["i0"])
+    made = blocks.blocks(x, ["i0"], count).localCheckpoint()
+    rows, met = blocks.dealt(made, most, None, most)
+    assert (made.count(), most, met) == (15, 16, 36) and rows.count() == 15 * 9 < 15 * 16
+    for a, b in ((pairs.pdist(x), pairs.pdist(x, strategy="plain")), (pairs.l2_kernel(x), pairs.l2_kernel(x, strategy="plain"))):
+        a, b = (d.toPandas().sort_values(["i", "j"]) for d in (a, b))
+        assert a[["i", "j"]].to_numpy().tolist() == b[["i", "j"]].to_numpy().tolist() and np.allclose(a.iloc[:, 2], b.iloc[:, 2], rtol=1e-12)
+    y = x.where("i0 % 3 = 0").withColumn("t", F.col("t") + 0.25)  # begins late
+    a, b = (pairs.cdist(x, y, ["i0"], ["i0"], strategy=s).toPandas().sort_values(["i0", "j0"])["d"].to_numpy() for s in ("block", "plain"))
+    assert len(a) == len(b) == 1200 and np.allclose(a, b, rtol=1e-12)
+
+
+def test_functions_too_long_for_a_table_are_looked_up(monkeypatch):
+    rng = np.random.default_rng(3)
+    t = [np.sort(rng.integers(0, 40, n)).astype(float) for n in (5, 30, 1, 12)]
+    t = [np.unique(x) for x in t]
+    v = [rng.normal(size=len(x)) for x in t]
+    for x in v:
+        x[-1] = 0.0
+    block = blocks.Block([np.arange(4)], np.cumsum([0, *map(len, t)])[:-1], np.concatenate(t), np.concatenate(v))
+    want = [blocks.Sweep(block).integrals(a, b, np.multiply) for a, b in zip(t, v, strict=True)]
+    grid = np.arange(41.0)
+    at = lambda f, g: np.array([g[np.searchsorted(f, x, "right") - 1] if x >= f[0] else 0.0 for x in grid])
+    assert np.allclose(want, [[(at(a, b) * at(c, d))[:-1].sum() for c, d in zip(t, v, strict=True)] for a, b in zip(t, v, strict=True)])
+    monkeypatch.setattr(blocks, "TABLE_CELLS", 0)
+    monkeypatch.setattr(blocks, "CHUNK_CELLS", 8)
+    assert np.allclose([blocks.Sweep(block).integrals(a, b, np.multiply) for a, b in zip(t, v, strict=True)], want, rtol=1e-12)
+
+
+def test_own_pair_integrals_go_by_block(spark):
+    x = to_points(R.noisy_sin(spark, (20,), 30, "pcf64", R.Generator(5)))
+    x = x.union(spark.createDataFrame([(20, 0.6, 1.0), (20, 0.65, -2.0), (21, 0.9, 1.0)], x.schema))  # begins within, and after the end
+    got, want = (pairs.integrate_all(x, F.least, np.fmin, a=0.2, b=0.7, strategy=s) for s in ("auto", "plain"))
+    assert "MapInPandas" in got._jdf.queryExecution().toString() or "MapInArrow" in got._jdf.queryExecution().toString()
+    a, b = (d.toPandas().sort_values(["i", "j"]) for d in (got, want))
+    assert len(a) == 210 and a[["i", "j"]].to_numpy().tolist() == b[["i", "j"]].to_numpy().tolist() and np.allclose(a["d"], b["d"], rtol=1e-12)
