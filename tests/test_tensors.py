@@ -161,6 +161,27 @@ def test_matrices(spark):
     assert sorted(tuple(r)[1:] for r in matrix_cells(stack_matrices([s])).collect()) == [(0, 0, -1.0), (1, 0, 2.0), (1, 1, 3.0)]
 
 
+def test_whole_matrices_need_no_join(spark):
+    """Squares and cells of matrices all of whose pairs are known are made row by row, whatever their size."""
+    x = C.pcf_tensor(spark, [[(0, 10.0), (2, 5.0), (3, 0.0)], [(0, 5.0), (6, 0.0)], [(0, 1.0), (1, 0.0)]])
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for m in (api.pdist(x), api.l2_kernel(x)):
+        assert sorted(map(tuple, m.to_dense().collect())) == sorted((i, j, m[i, j]) for i in range(3) for j in range(3))
+        assert plan(m.to_dense()).count("Join") == plan(m.pairs).count("Join")
+        t = stack_matrices([m, m])
+        cells = sorted(map(tuple, matrix_cells(t).collect()))
+        assert cells == sorted(map(tuple, matrix_cells(t[0:2]).collect())) and "collect_list" not in plan(matrix_cells(t)).split("MapInPandas")[0]
+    m[2, 0] = 7.0
+    assert m.to_numpy()[0, 2] == 7 and m.to_dense().count() == 9
+    d = api.pdist(x)
+    assert DistanceMatrix.from_dense(d.to_dense(), 3).to_numpy().tolist() == d.to_numpy().tolist()
+    square = d.to_dense().collect()
+    cell = [tuple(r) for r in square if r["i"] != r["j"]]
+    for bad in (square[1:], [*square[1:], (1, 2, 0.0)], [(i, j, v + (i < j)) for i, j, v in square], [*square[:-1], (7, 7, 0.0)], [*((i, i, 0.0) for i in range(3)), *[cell[0]] * 6]):
+        with pytest.raises(ValueError):
+            DistanceMatrix.from_dense(spark.createDataFrame(bad, "i long, j long, v double"), 3)
+
+
 @pytest.mark.parametrize("dtype", list(dtypes.DTYPES))
 def test_saving_every_dtype(spark, tmp_path, dtype):
     z = C.zeros(spark, (2, 2), dtype)
