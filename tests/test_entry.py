@@ -118,3 +118,31 @@ def test_every_bar_has_its_rank(spark, tmp_path, monkeypatch):
         got = sorted((r["n"], r["birth"], r["death"]) for r in catalogue.QUERIES["bar_order"](spark, str(tmp_path)).collect())
         assert [n for n, _, _ in got] == list(range(1, 181))
         assert [(b - got[-1][1], e - b) for _, b, e in got] == want
+
+
+def test_quotients_round_as_their_sql(spark, tmp_path):
+    """Quotients that leave half a unit in the last digit (113.05 / 224 and others)."""
+    import datetime
+
+    import duckdb
+
+    start = datetime.datetime(2024, 1, 1)
+    some = [(113.05, 224.0), (207.57, 6.4), (207.72, 25.6), (19.95, 160.0), (51.48, 25.6), (165.69, 160.0), (0.0, 3.0), (3.0, 0.0)]
+    rows = [(4 * k + 2 * s + n, 2 * k + s, start + datetime.timedelta(days=n), "a", (v, 1.0)[n]) for k, p in enumerate(some) for s, v in enumerate(p) for n in range(2)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("div_pcf", "scalar_ops"):
+        got, want = catalogue.QUERIES[name](spark, str(tmp_path)).toPandas(), con.sql(catalogue.ORACLE_SQL[name]).df()
+        cols = sorted(got.columns)
+        assert sorted(map(tuple, got[cols].map(str).to_numpy())) == sorted(map(tuple, want[cols].map(str).to_numpy()))
+
+
+def test_scalar_arithmetic_keeps_rows_of_one_time(spark, tmp_path):
+    """Two events of a user at one time are two breakpoints, each with one row of results."""
+    import datetime
+
+    at = [datetime.datetime(2024, 1, 1 + n) for n in (0, 1, 1, 2)]
+    spark.createDataFrame([(n, 5, t, "a", float(n + 1)) for n, t in enumerate(at)], "event_id long, user_id long, ts timestamp, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted((r["t"], r["a"], r["h"]) for r in catalogue.QUERIES["scalar_ops"](spark, str(tmp_path)).collect())
+    assert got == [(0.0, 3.5, 1.0), (1.0, 4.5, 4.0), (1.0, 5.5, 9.0), (2.0, 2.5, 0.0)]
