@@ -176,3 +176,24 @@ def test_rips_h1_query_takes_whole_clouds(spark, tmp_path):
             for t in [0.0, *(v for v in lengths if v < float("inf"))]:
                 want[k, dim, round(t, 6)] = float(sum(v > t for v in lengths))
     assert got == want
+
+
+def test_large_clouds_in_bounded_memory(monkeypatch):
+    """Widest distances and smallest trees hold no matrix of all coordinates' differences, and no matrix of distances."""
+    import tracemalloc
+
+    x = np.random.default_rng(8).normal(size=(1500, 8))
+    x[7] = x[3]
+    monkeypatch.setattr(homology, "DIFFERENCES", 1 << 14)
+    tracemalloc.start()
+    wide, tree = homology.widest(x), homology.tree_lengths(x)
+    top = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert top < 4_000_000  # the matrix alone would be 18 MB
+    d = homology.distances(x)
+    assert wide == d.max() and np.allclose([(x[5] - x[9]) @ (x[5] - x[9])], d[5, 9] ** 2)
+    i, j = np.triu_indices(1500, 1)
+    order = np.argsort(d[i, j], kind="stable")
+    assert np.allclose(tree, d[i, j][order][homology._forest(i[order], j[order], 1500)]) and tree[0] == 0
+    assert homology._cloud_h0(x, False).count((0.0, INF)) == 1 and len(homology._cloud_h0(x, True)) == 1498
+    assert homology._cloud_h0([], False) == [] and homology._cloud_h0([[1.0]], False) == [(0.0, INF)] and homology.widest([]) == 0
