@@ -197,3 +197,25 @@ def test_large_clouds_in_bounded_memory(monkeypatch):
     assert np.allclose(tree, d[i, j][order][homology._forest(i[order], j[order], 1500)]) and tree[0] == 0
     assert homology._cloud_h0(x, False).count((0.0, INF)) == 1 and len(homology._cloud_h0(x, True)) == 1498
     assert homology._cloud_h0([], False) == [] and homology._cloud_h0([[1.0]], False) == [(0.0, INF)] and homology.widest([]) == 0
+
+
+def test_dimension_one_lists_no_triangles(monkeypatch):
+    """No table of all triangles is held; columns kept by their edges give the same bars."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    angle = np.sort(rng.uniform(0, 2 * np.pi, 300))
+    d = homology.distances(np.stack((np.cos(angle), np.sin(angle)), 1))
+    tracemalloc.start()
+    bars = homology.rips_barcodes(d, 1)[1]
+    top = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert top < 40_000_000  # 4.5 million triangles, for which a table took over 100 MB
+    (longest,) = [b for b in bars if b[1] - b[0] > 0.5]
+    gap = max(*np.diff(angle), 2 * np.pi + angle[0] - angle[-1])
+    assert longest[0] == pytest.approx(2 * np.sin(gap / 2)) and longest[1] == pytest.approx(3**0.5, abs=0.05)
+    d = homology.distances(rng.normal(size=(40, 5)).round(1))
+    want = sorted(homology.rips_barcodes(d, 1)[1])
+    monkeypatch.setattr(homology, "KEPT_BYTES", 0)
+    monkeypatch.setattr(homology, "DIFFERENCES", 64)
+    assert sorted(homology.rips_barcodes(d, 1)[1]) == want and len(want) > 5
