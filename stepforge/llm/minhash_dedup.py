@@ -7,10 +7,9 @@ the threshold; survivors are confirmed on full shingle sets. No pair list of a g
 sets are one class from the start; each bucket's members are compared with its leader, the member that shares most bands;
 only what is then still apart in a bucket (another component than the bucket's largest) is compared with the bucket's
 other members, in blocks that return no more than the links between components; a bucket too large for one block is dealt
-anew by pairs of bands first.
-A pair of linked documents is missed only if no band agrees (at similarity 0.8: (1 - 0.8^4)^32 = 5e-8), if it shares a
-single band and that has a bucket too large for one block (32 * 0.8^4 * (1 - 0.8^4)^31 = 1e-6), or if the estimate is off by
-over 5 standard deviations.
+over several, in which each of the one meets each of the other.
+A pair of linked documents is missed only if no band agrees (at similarity 0.8: (1 - 0.8^4)^32 = 5e-8); the estimate only
+chooses which pairs with a leader are confirmed early, and one that it passes over is compared in the late blocks.
 
 Defined cases: null, empty or blank text has an empty set, linked with nothing; fewer than n words are one shingle, the
 whole sequence; long texts are hashed in segments, whole; null ids keep component null and kept true and link with nothing;
@@ -159,7 +158,7 @@ def _block_links(rows: list, percent: int) -> list:
     sizes = np.array([len(x) for x in sets])
     doc, comp, main = np.array([r[2] for r in rows]), np.array([r[3] for r in rows]), rows[0][4]
     bands = np.stack([r[6] for r in rows])
-    band = next(iter(np.flatnonzero(bands[0] == rows[0][0]).tolist()), 0)  # in a band's own bucket, a pair that shares an earlier band was met there
+    band = int(np.flatnonzero(bands[0] == rows[0][0])[0])  # a pair that shares an earlier band was met in its bucket
     ids, starts, mark = None, None, None
     found: dict = {}
 
@@ -232,17 +231,11 @@ def _open_buckets(label: DataFrame) -> DataFrame:
 def _late_links(members: DataFrame, comps: DataFrame, docs: DataFrame, sizes: DataFrame, n: int, percent: int) -> DataFrame:
     """Links between different components that share a bucket: all members outside the bucket's largest component are
     compared with all others, in blocks of bounded bytes; a block returns only links that join components. A bucket too large
-    for one block is dealt anew by each second band of its members: documents that are alike share several."""
+    for one block is dealt over several, so that every pair meets whatever the bucket's size."""
     label = members.select("bucket", "doc_id").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("c"))
     label = materialize(label.join(sizes.select("doc_id", "n_shingles"), "doc_id"), "labels")
     main = _open_buckets(label)
     open_ = label.join(bounded_broadcast(main, main.count()), "bucket")
-    wide = F.col("ns") * F.col("nm") > 1
-    if not main.where(wide).isEmpty():
-        by_two = open_.where(wide).select("bucket", "doc_id", "c", "n_shingles").join(sizes.select("doc_id", F.explode("bands").alias("second")), "doc_id").where("bucket <> second")
-        again = materialize(by_two.select(F.xxhash64(F.least("bucket", "second"), F.greatest("bucket", "second")).alias("bucket"), "doc_id", "c", "n_shingles").distinct(), "labels")
-        inner = _open_buckets(again)
-        open_ = open_.where(~wide).unionByName(again.join(bounded_broadcast(inner, inner.count()), "bucket"))
     open_ = materialize(open_, "open-members")
     ids = materialize(open_.select("doc_id").distinct(), "open-ids")
     need = docs.join(bounded_broadcast(ids, ids.count()), "doc_id", "left_semi")

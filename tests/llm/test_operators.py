@@ -692,6 +692,20 @@ def test_near_duplicates_with_wide_buckets(spark, monkeypatch):
     assert [tuple(r) for r in got] == brute_components(texts, 2, 80)
 
 
+def test_a_pair_with_one_band_in_common_is_met_in_a_bucket_of_any_size(spark, monkeypatch):
+    texts = [" ".join(f"{'w' if k < 2 else f'x{k}-'}{i}" for i in range(60)) for k in range(40)]
+    texts[1] += " more"
+    docs = docs_of(spark, texts)
+    sizes = spark.createDataFrame([(k, 59 + (k == 1), [7, *range(1000 * k + 1000, 1000 * k + 1031)]) for k in range(40)], "doc_id long, n_shingles long, bands array<long>")
+    members = spark.createDataFrame([(7, 40, k) for k in range(40)], "bucket long, size long, doc_id long")
+    comps = spark.createDataFrame([], "node long, component long")
+    for strays, most in ((1 << 17, 1 << 19), (50, 100), (1, 1)):
+        monkeypatch.setattr(minhash_dedup, "STRAY_SHINGLES", strays)
+        monkeypatch.setattr(minhash_dedup, "MEMBER_SHINGLES", most)
+        found = minhash_dedup._late_links(members, comps, docs, sizes, 2, 80).collect()
+        assert {tuple(sorted(r)) for r in found} == {(0, 1)}
+
+
 def test_least_risk_cut_is_the_least_of_all_cuts():
     rng = np.random.default_rng(4)
     for _ in range(30):
