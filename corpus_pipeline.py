@@ -47,7 +47,10 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     row. The stage before took from a near copy the lines that it shares, so what is alike is only seen in the documents
     as they were; both texts of a document are compared, the one it came with and the one it has. Documents without a
     word left go: all they held stays elsewhere."""
-    came = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    came = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("doc_id is not null")
+    # the few that went before are left out by id: the texts, which are read several times, are not shuffled for it
+    before = materialize(came.select("doc_id").join(docs.select("doc_id"), "doc_id", "left_anti").distinct(), "before")
+    came = came.join(bounded_broadcast(before, before.count()), "doc_id", "left_anti")
     links = [minhash_dedup.near_duplicates(d, n=2, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias("u"), F.col("component_id").alias("v")) for d in (came, docs)]
     alike = materialize(connected_components(links[0].union(links[1]).distinct()), "alike")
     gone = materialize(alike.where("node <> component").select(F.col("node").alias("doc_id")), "gone")

@@ -1,8 +1,14 @@
 """Connected components by alternating large-star and small-star rounds; edges never leave the executors."""
 
+import numpy as np
+import pandas as pd
+
 from pyspark.sql import DataFrame, functions as F
 
-from stepforge.llm.storage import discard, materialize
+from stepforge.llm.storage import discard, map_frames, materialize
+
+#: Edges that one task contracts to stars before the rounds.
+PART_EDGES = 1 << 18
 
 #: Keys with more rows than HOT_ROWS and more than a MOST_HOT-th of all rows are hot; there are fewer than MOST_HOT.
 HOT_ROWS, MOST_HOT = 50_000, 10_000
@@ -41,13 +47,44 @@ def _small_star(e: DataFrame, rows: int) -> DataFrame:
     return rest.union(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join the same nodes as (u, v): from each node to the smallest that it reaches, but for those smallest nodes."""
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while len(apart := np.flatnonzero(root[a] != root[b])):
+        x, y = root[a[apart]], root[b[apart]]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    leaves = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[leaves], nodes[root[leaves]]
+
+
+def _contracted(e: DataFrame, parts: int) -> DataFrame:
+    """e dealt evenly over parts, each reduced to its stars; a single part holds the components as they are."""
+
+    def run(frames):
+        rows = [pdf[["u", "v"]].to_numpy(np.int64) for pdf in frames]
+        if rows:
+            yield pd.DataFrame(dict(zip("uv", stars(*np.concatenate(rows).T), strict=True)))
+
+    return map_frames(e.repartition(parts), run, "u long, v long")
+
+
 def connected_components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
     """(node, component) for every node with an edge to another node; component is the smallest node reachable.
+    Parts of the edges are contracted first, which leaves no round to do where one part holds all.
     Rounds are O(log^2 n); each is written to the shared folder, so a lost executor costs one round at most, and the one before
     is deleted. Null ends and loops are ignored; no edges: no rows."""
     e = materialize(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     rows, mark = e.count(), None
-    while rows:
+    parts = -(-rows // PART_EDGES)
+    if rows:
+        first, e = e, materialize(_contracted(e, parts), "edges")
+        discard(first)
+        rows = e.count()
+    while parts > 1:
         half = _large_star(e, rows)
         e2 = materialize(_small_star(materialize(half, "large-star") if rows > HOT_ROWS else half, rows), "edges")
         discard(e)

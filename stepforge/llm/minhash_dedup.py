@@ -68,8 +68,7 @@ def signature_rows(texts: list, n: int) -> dict:
         d1, d2 = np.zeros(hi - lo, np.uint64), np.zeros(hi - lo, np.uint64)
         bands, planes = [[]] * (hi - lo), [[]] * (hi - lo)
         if len(full):
-            d1[full] = np.add.reduceat(mix(sets + np.uint64(17)), bounds[:-1][full])
-            d2[full] = np.add.reduceat(mix(sets ^ np.uint64(0x5555555555555555)), bounds[:-1][full])
+            d1[full], d2[full] = digests(sets, bounds[:-1][full])
             key = np.zeros((len(full), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
             grouped = m.reshape(len(full), BANDS, ROWS)
             for r in range(ROWS):
@@ -96,16 +95,35 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
     return map_frames(bounded_batches(docs).select("doc_id", "text"), sign, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, planes array<long>")
 
 
+def digests(sets: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of each of the non-empty sets that begin at starts."""
+    return np.add.reduceat(mix(sets + np.uint64(17)), starts), np.add.reduceat(mix(sets ^ np.uint64(0x5555555555555555)), starts)
+
+
 def shingle_arrays(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, shingles (the set's hashes) and its digests d1, d2 for the rows whose set is not empty."""
+
     def run(frames):
         for pdf in frames:
             texts = [t if isinstance(t, str) else None for t in pdf["text"]]
             for lo, hi in batches_by_bytes(texts):
                 sets, bounds = shingle_sets(texts[lo:hi], n)
-                v = sets.view(np.int64)
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[lo:hi], "shingles": [v[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)]})
+                full = np.flatnonzero(np.diff(bounds))
+                if len(full):
+                    d1, d2 = digests(sets, bounds[:-1][full])
+                    shingles = [sets[bounds[k] : bounds[k + 1]].tobytes() for k in full.tolist()]
+                    yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[lo + full], "shingles": shingles, "d1": d1.view(np.int64), "d2": d2.view(np.int64)})
+
+    return map_frames(bounded_batches(docs).select("doc_id", "text"), run, "doc_id long, shingles binary, d1 long, d2 long")
 
-    return map_frames(bounded_batches(docs).select("doc_id", "text"), run, "doc_id long, shingles binary")
+
+def _sets_of(ids: DataFrame, docs: DataFrame, reps: DataFrame, n: int, keep) -> DataFrame:
+    """doc_id, shingles of the ids: of several texts under one id, the set whose digests reps has."""
+    on = ["doc_id", *(c for c in ("d1", "d2") if c in reps.columns)]
+    ids = keep(ids.distinct().join(reps.select(*on), "doc_id"), "ids")
+    few = bounded_broadcast(ids, ids.count())
+    sets = keep(shingle_arrays(docs.select("doc_id", "text").join(few, "doc_id", "left_semi"), n), "sets")
+    return sets.join(few, on, "left_semi").select("doc_id", "shingles").dropDuplicates(["doc_id"])
 
 
 def _estimate(x: str, y: str):
@@ -137,12 +155,9 @@ def _overlap_at_least(x: pd.Series, y: pd.Series, percent: pd.Series) -> pd.Seri
     return pd.Series(out)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, percent: int, keep) -> DataFrame:
     """The pairs (u, v) whose full sets reach the threshold, sets being made for the documents in pairs only."""
-    ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    ids = materialize(ids, "candidates")
-    need = docs.select("doc_id", "text").join(bounded_broadcast(ids, ids.count()), "doc_id", "left_semi")
-    sets = materialize(shingle_arrays(need, n), "sets").dropDuplicates(["doc_id"])
+    sets = _sets_of(pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))), docs, reps, n, keep)
     left = pairs.join(sets.withColumnsRenamed({"doc_id": "u", "shingles": "su"}), "u")
     both = left.join(sets.withColumnsRenamed({"doc_id": "v", "shingles": "sv"}), "v")
     return both.where(_overlap_at_least("su", "sv", F.lit(percent))).select("u", "v")
@@ -219,27 +234,24 @@ def _apart_links(percent: int):
     return run
 
 
-def _open_buckets(label: DataFrame) -> DataFrame:
+def _open_buckets(label: DataFrame, keep=materialize) -> DataFrame:
     """Buckets of (bucket, doc_id, c, n_shingles) rows that hold more than one component: bucket, main (the largest one) and
     in how many parts strays and members are compared."""
     parts = label.groupBy("bucket", "c").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("total"))
     main = parts.groupBy("bucket").agg(F.max(F.struct("size", "c", "total")).alias("m"), F.count("*").alias("parts"), F.sum("total").alias("total")).where("parts > 1")
     cut = lambda n, by: F.ceil(n / F.lit(by)).cast("int")
-    return materialize(main.select("bucket", F.col("m.c").alias("main"), cut(F.col("total") - F.col("m.total"), STRAY_SHINGLES).alias("ns"), cut(F.col("total"), MEMBER_SHINGLES).alias("nm")), "open")
+    return keep(main.select("bucket", F.col("m.c").alias("main"), cut(F.col("total") - F.col("m.total"), STRAY_SHINGLES).alias("ns"), cut(F.col("total"), MEMBER_SHINGLES).alias("nm")), "open")
 
 
-def _late_links(members: DataFrame, comps: DataFrame, docs: DataFrame, sizes: DataFrame, n: int, percent: int) -> DataFrame:
+def _late_links(members: DataFrame, comps: DataFrame, docs: DataFrame, reps: DataFrame, n: int, percent: int, keep=materialize) -> DataFrame:
     """Links between different components that share a bucket: all members outside the bucket's largest component are
     compared with all others, in blocks of bounded bytes; a block returns only links that join components. A bucket too large
     for one block is dealt over several, so that every pair meets whatever the bucket's size."""
     label = members.select("bucket", "doc_id").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    label = materialize(label.join(sizes.select("doc_id", "n_shingles"), "doc_id"), "labels")
-    main = _open_buckets(label)
-    open_ = label.join(bounded_broadcast(main, main.count()), "bucket")
-    open_ = materialize(open_, "open-members")
-    ids = materialize(open_.select("doc_id").distinct(), "open-ids")
-    need = docs.join(bounded_broadcast(ids, ids.count()), "doc_id", "left_semi")
-    sets = materialize(shingle_arrays(need, n), "open-sets").dropDuplicates(["doc_id"]).join(sizes.select("doc_id", "bands"), "doc_id")
+    label = keep(label.join(reps.select("doc_id", "n_shingles"), "doc_id"), "labels")
+    main = _open_buckets(label, keep)
+    open_ = keep(label.join(bounded_broadcast(main, main.count()), "bucket"), "open-members")
+    sets = _sets_of(open_.select("doc_id"), docs, reps, n, keep).join(reps.select("doc_id", "bands"), "doc_id")
     salt = lambda k: F.pmod(F.xxhash64("doc_id"), F.col(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
     strays = open_.where("c <> main").select("bucket", "doc_id", "c", "main", F.lit(0).alias("side"), salt("ns").alias("i"), every("nm").alias("j"))
@@ -252,12 +264,22 @@ def _late_links(members: DataFrame, comps: DataFrame, docs: DataFrame, sizes: Da
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links), kept: one row for each row of docs.
     Links: 100 * intersection >= percent * union of the sets of distinct n-word shingles."""
-    docs, key = docs.select("doc_id", "text"), ["n_shingles", "d1", "d2"]
+    docs, key, made = docs.select("doc_id", "text"), ["n_shingles", "d1", "d2"], []
+
+    def keep(df: DataFrame, label: str) -> DataFrame:  # until the next table that is built on it is written
+        made.append(materialize(df, label))
+        return made[-1]
+
+    def done(df: DataFrame) -> DataFrame:
+        discard(*made)
+        made.clear()
+        return df
+
     sig = materialize(signatures(docs, n), "signatures")
     classed = sig.where("doc_id is not null and n_shingles > 0")
     classes = materialize(classed.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "copies")
     first = classes.select(F.col("rep").alias("doc_id"), *key).hint("shuffle_hash")
-    reps = materialize(classed.select("doc_id", *key, "planes", "bands").join(first, ["doc_id", *key], "left_semi").drop("d1", "d2").dropDuplicates(["doc_id"]), "classes")  # read several times below
+    reps = materialize(classed.select("doc_id", *key, "planes", "bands").join(first, ["doc_id", *key], "left_semi").dropDuplicates(["doc_id"]), "classes")  # read several times below
     entries = reps.select("doc_id", F.explode("bands").alias("bucket"))
     buckets = materialize(entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     members = materialize(entries.join(bounded_broadcast(buckets, buckets.count()), "bucket"), "members")
@@ -269,9 +291,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     side = lambda key, name: reps.select(F.col("doc_id").alias(key), F.col("planes").alias(name))
     likely = stars.join(side("u", "pu"), "u").join(side("v", "pv"), "v").where(_estimate("pu", "pv") >= percent / 100 - MARGIN).select("u", "v")
     likely = materialize(likely, "stars")
-    links = materialize(confirm(likely, docs, n, percent), "links")
+    links = done(materialize(confirm(likely, docs, reps, n, percent, keep), "links"))
     comps = materialize(connected_components(links), "components")
-    late = materialize(_late_links(members, comps, docs, reps.select("doc_id", "n_shingles", "bands"), n, percent), "late-links")
+    late = done(materialize(_late_links(members, comps, docs, reps, n, percent, keep), "late-links"))
     if not late.isEmpty():
         comps = materialize(connected_components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).union(late)), "components")
     found = materialize(classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(*key, "copies", F.coalesce("component", "rep").alias("component_id")), "class-components")

@@ -729,3 +729,36 @@ def test_near_vectors_over_many_shards(spark):
             break
         label = new
     assert [got[k][1] for k in range(len(x))] == label.tolist()
+
+
+@pytest.mark.parametrize("many", [4, 12])
+def test_near_duplicates_of_ids_that_also_have_no_text(spark, many):
+    texts = [" ".join(f"{'w' if k < 2 else f'x{k}-'}{i}" for i in range(60)) for k in range(many)]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    for order in (rows + [(k, None) for k in range(many)], [(k, None) for k in range(many)] + rows):
+        docs = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+        sizes = spark.createDataFrame([(k, 59, [7, *range(1000 * k + 1000, 1000 * k + 1031)]) for k in range(many)], "doc_id long, n_shingles long, bands array<long>")
+        members = spark.createDataFrame([(7, many, k) for k in range(many)], "bucket long, size long, doc_id long")
+        found = minhash_dedup._late_links(members, spark.createDataFrame([], "node long, component long"), docs, sizes, 2, 80).collect()
+        assert {tuple(sorted(r)) for r in found} == {(0, 1)}
+
+
+def test_stars_join_what_the_edges_join():
+    rng = np.random.default_rng(3)
+    for nodes, n in ((30, 12), (200, 150), (50, 400)):
+        ids = rng.choice(1 << 61, nodes, replace=False)
+        u, v = ids[rng.integers(nodes, size=n)], ids[rng.integers(nodes, size=n)]
+        low = dict(zip(ids.tolist(), ids.tolist(), strict=True))
+        for _ in range(nodes):
+            for a, b in zip(u.tolist(), v.tolist(), strict=True):
+                low[a] = low[b] = min(low[a], low[b])
+        got = dict(zip(*(x.tolist() for x in components.stars(u, v)), strict=True))
+        assert got == {k: m for k, m in low.items() if k != m}
+
+
+@pytest.mark.parametrize("part", [1, 3, 1000])
+def test_components_in_any_number_of_parts(spark, monkeypatch, part):
+    monkeypatch.setattr(components, "PART_EDGES", part)
+    edges = [(i, i + 1) for i in range(20)] + [(100, k) for k in range(101, 112)]
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**{k: 0 for k in range(21)}, **{k: 100 for k in range(100, 112)}}

@@ -69,3 +69,24 @@ def test_language_scores_decide(spark, sf_dir, monkeypatch):
 
     monkeypatch.setattr(corpus_pipeline.language_id, "predict", torn)
     assert ids(corpus_pipeline.identify_language(spark, docs, sf_dir)) == ids(docs) - {5, 300, 301, 302}
+
+
+def test_near_dedup_shuffles_no_texts_to_find_those_that_are_left(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 300")
+    read = []
+
+    def seen(d, **options):
+        read.append(d)
+        return minhash_dedup_near(d, **options)
+
+    minhash_dedup_near = minhash_dedup.near_duplicates
+    monkeypatch.setattr(minhash_dedup, "near_duplicates", seen)
+    small, key = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(key, "-1")  # tables are not small because the test's are
+    kept = {r[0] for r in corpus_pipeline.dedup_documents(spark, docs, sf_dir).select("doc_id").collect()}
+    came = read[0]
+    plan = came._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set(key, small)
+    assert {r[0] for r in came.collect()} == {r[0] for r in docs.collect()}
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    assert kept == set(range(120))
