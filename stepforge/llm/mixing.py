@@ -16,7 +16,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from stepforge.llm.storage import materialize
+from stepforge.llm.storage import bounded_reads, materialize
 
 WEIGHTS, SHARE, CAP, SEED = (5, 2, 1), 1.5, 2.0, "mix"
 ROWS_A_RANGE = 2000
@@ -24,7 +24,9 @@ _SPACE = r"\x20\x09-\x0D"
 
 
 def n_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    """Words become one letter each and the letters are counted: regexp_count would first list all words of a text."""
+    letters = F.regexp_replace(text, f"[{_SPACE}]*[^{_SPACE}]+[{_SPACE}]*", "w")
+    return F.when(text.rlike(f"[^{_SPACE}]"), F.length(letters)).otherwise(0).cast("long")
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -47,6 +49,7 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: floa
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
     """docs with __size, __source_size, __target and __taken."""
+    docs = bounded_reads(docs)
     digits = max(1, math.ceil(math.log(max(1, docs.count() / ROWS_A_RANGE), 16)))
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|" + seed)).cast("binary"))
     # the row itself is one column: no name of docs can clash with those of the plan

@@ -47,6 +47,19 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Rows that a Parquet reader holds at once.
+READ_ROWS = 256
+
+
+def bounded_reads(df: DataFrame) -> DataFrame:
+    """df, with the session's Parquet readers bounded in rows: they put a batch's texts into one array, and 4,096 long ones fill
+    a heap. As in bounded_batches, the bound belongs to the session and one of the caller's own is left alone."""
+    conf, key = df.sparkSession.conf, "spark.sql.parquet.columnarReaderBatchSize"
+    if key not in conf.getAll:
+        conf.set(key, str(READ_ROWS))
+    return df
+
+
 def give_back() -> None:
     """Returns freed memory to the system: workers outlive their tasks, and the next stage's memory counts beside theirs."""
     import pyarrow

@@ -1,8 +1,11 @@
 """Small exact tests of the corpus operators, mostly against brute force, and their defined edge cases."""
 
 import gzip
+import os
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
 
@@ -183,6 +186,42 @@ def test_mixing_edge_cases(spark):
     assert mixing.mix(twice).agg(F.sum("__taken")).first()[0] == 12
 
 
+def small_heap(code, cwd):
+    """Runs code, with a session spark whose JVM has 512 MB."""
+    start = 'from pyspark.sql import SparkSession\nfrom stepforge.llm import mixing\nspark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "1").getOrCreate()\n'
+    env = os.environ | {"PYTHONPATH": os.pathsep.join(sys.path), "PYSPARK_SUBMIT_ARGS": "--driver-memory 512m pyspark-shell"}
+    done = subprocess.run([sys.executable, "-B", "-c", start + code], cwd=cwd, env=env, capture_output=True, text=True)
+    assert not done.returncode, done.stderr[-2000:]
+
+
+def test_words_are_counted_without_a_list_of_them(spark, tmp_path):
+    """A text of 16 MB is counted, and mixed, by a JVM of 512 MB, where a list of its 8 million words has no room."""
+    texts = [None, "", " ", " \t\n\x0b\x0c\r" * 50_000, "a", " a", "a ", "\n\na\r\nb\t", "a\x1cb\xa0c\u2003d\x00 \x85", "日本 語\U0001F600 é\u0301 $1 \\", "w" * 200_000, "\n" * 200_000 + "x"]
+    got = {r[0]: r[1] for r in docs_of(spark, texts).select("doc_id", mixing.n_words(F.col("text"))).collect()}
+    assert got == {i: len(WORD.findall(t or "")) for i, t in enumerate(texts)}
+    code = """
+docs = spark.range(1, 3).selectExpr("id AS doc_id", "repeat('a ', cast(id * 4000000 as int)) AS text", "'s' AS source")
+got = mixing.mix(docs).select("doc_id", "__size", "__taken").orderBy("doc_id").collect()
+assert [r["__size"] for r in got] == [4_000_000, 8_000_000], got
+assert sum(r["__taken"] for r in got) == 18_000_000, got
+"""
+    small_heap(code, tmp_path)
+
+
+def test_long_texts_are_read_a_few_at_a_time(tmp_path):
+    """4,096 texts of 60 KB in one Parquet file are mixed by a JVM of 512 MB, where one array of them all has no room."""
+    code = """
+spark.range(0, 4096, 1, 1).selectExpr("id AS doc_id", "repeat(concat(lpad(id, 99, 'w'), ' '), 600) AS text", "'s' AS source").write.parquet("docs")
+got = mixing.mix(spark.read.parquet("docs")).selectExpr("count(*)", "min(__size)", "sum(__size)", "sum(__taken)").first()
+assert tuple(got) == (4096, 600, 4096 * 600, 4096 * 900), got
+assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "256"
+spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "99")
+mixing.mix(spark.read.parquet("docs").limit(1))
+assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "99"
+"""
+    small_heap(code, tmp_path)
+
+
 # ---- packing (1) -------------------------------------------------------------------------------------------------------
 
 TEXTS = ["Hello, World! it's 1st-rate &lt; ééé ß µ ½ İstanbul", "", None, "naïve\x1ccafé\xa0x", "日本語 text", "don't we'LL 've", "é combining", "<|endoftext|> a"]
