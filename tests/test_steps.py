@@ -234,3 +234,21 @@ def test_own_pair_integrals_go_by_block(spark):
     assert "MapInPandas" in got._jdf.queryExecution().toString() or "MapInArrow" in got._jdf.queryExecution().toString()
     a, b = (d.toPandas().sort_values(["i", "j"]) for d in (got, want))
     assert len(a) == 210 and a[["i", "j"]].to_numpy().tolist() == b[["i", "j"]].to_numpy().tolist() and np.allclose(a["d"], b["d"], rtol=1e-12)
+
+
+def test_many_groups_of_blocks_are_written_once(spark, monkeypatch):
+    """Beyond DEALT_GROUPS groups no block is copied: pairs of partitions of one written table make all pairs of functions."""
+    for name, value in (("BLOCK_POINTS", 64), ("BLOCK_FUNCTIONS", 4), ("LEAST_GROUPS", 3), ("DEALT_GROUPS", 2)):
+        monkeypatch.setattr(blocks, name, value)
+    x = to_points(R.noisy_sin(spark, (30,), 16, "pcf64", R.Generator(5)))
+    count, most, _ = blocks.extent(x, ["i0"])
+    made = blocks.written_groups(blocks.blocks(x, ["i0"], count), most)
+    met = blocks.met(made, None)
+    assert (made.count(), made.rdd.getNumPartitions(), met.count()) == (8, 4, 8 * 9 // 2) and "CartesianProduct" in met._jdf.queryExecution().toString()
+    y = x.where("i0 % 3 = 0").withColumn("t", F.col("t") + 0.25)  # begins late
+    uneven = lambda a, b: a - 2 * b
+    for fn in (lambda s: pairs.cdist(x, y, ["i0"], ["i0"], strategy=s), lambda s: pairs.integrate_all(x, uneven, uneven, a=0.2, b=0.7, strategy=s)):
+        made = fn("block")
+        a, b = (d.toPandas().sort_values(d.columns[:2]) for d in (made, fn("plain")))
+        assert len(a) in (300, 435) and a.iloc[:, :2].to_numpy().tolist() == b.iloc[:, :2].to_numpy().tolist() and np.allclose(a.iloc[:, 2], b.iloc[:, 2], rtol=1e-12)
+        assert "CartesianProduct" in made._jdf.queryExecution().toString()
