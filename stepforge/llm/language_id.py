@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from stepforge.llm.storage import arrow_schema, bounded_batches, give_back
+from stepforge.llm.storage import arrow_schema, bounded_batches, bounded_reads, give_back
 
 HIDDEN, WINDOW, TRAIN_WINDOW = 8, 64, 32
 STEPS, BATCH, RATE, SEED = 400, 256, 0.02, 11
@@ -150,7 +150,7 @@ def held_out(doc_id):
 def training_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> list:
     """At most per_language (lang, excerpt) rows of each language, those with the smallest hashes of their ids. How many
     rows a language has is counted first, so rows above a hash that leaves enough are dropped where they are."""
-    rows = docs.where(F.col("lang").isNotNull() & F.rlike("text", F.lit(r"\p{L}")) & ~held_out(F.col("doc_id")))
+    rows = bounded_reads(docs).where(F.col("lang").isNotNull() & F.rlike("text", F.lit(r"\p{L}")) & ~held_out(F.col("doc_id")))
     at = F.pmod(F.shiftright(F.xxhash64("doc_id"), 7), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))).cast("int") + 1
     count = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     if not count:
@@ -203,7 +203,7 @@ def predict(docs: DataFrame, model: ByteGRU | None, columns: list[str]) -> DataF
         flush()
         return pred, score
 
-    rows = bounded_batches(docs).select(*columns, *(["text"] if "text" not in columns else []))
+    rows = bounded_batches(bounded_reads(docs)).select(*columns, *(["text"] if "text" not in columns else []))
     schema = docs.select(*columns).schema.add("__pred", "string").add("__score", "double")
     names = arrow_schema(schema).names
 

@@ -10,7 +10,7 @@ neither counted nor changed; ties have no effect (the smallest id is unique); ex
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stepforge.llm.storage import bounded_broadcast, materialize
+from stepforge.llm.storage import bounded_broadcast, bounded_reads, materialize
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -33,6 +33,7 @@ def _lines(docs: DataFrame, host: str | None, min_chars: int) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, host: str | None = None) -> DataFrame:
     """docs with text reassembled from the lines that stay, and __n_lines, __n_dropped."""
+    docs = bounded_reads(docs)
     lines = _lines(docs, host, min_chars)
     by_key = lines.groupBy("__host", "__h1", "__h2")
     if min_docs <= 2:

@@ -24,7 +24,7 @@ from pyspark.sql.types import BooleanType
 
 from stepforge.llm.components import connected_components, hot_join
 from stepforge.llm.hashing import batches_by_bytes, mix, shingle_sets
-from stepforge.llm.storage import bounded_batches, bounded_broadcast, discard, map_frames, materialize
+from stepforge.llm.storage import bounded_batches, bounded_broadcast, bounded_reads, discard, map_frames, materialize
 
 BANDS, ROWS, BITS = 32, 4, 2
 K = BANDS * ROWS
@@ -264,7 +264,7 @@ def _late_links(members: DataFrame, comps: DataFrame, docs: DataFrame, reps: Dat
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links), kept: one row for each row of docs.
     Links: 100 * intersection >= percent * union of the sets of distinct n-word shingles."""
-    docs, key, made = docs.select("doc_id", "text"), ["n_shingles", "d1", "d2"], []
+    docs, key, made = bounded_reads(docs).select("doc_id", "text"), ["n_shingles", "d1", "d2"], []
 
     def keep(df: DataFrame, label: str) -> DataFrame:  # until the next table that is built on it is written
         made.append(materialize(df, label))

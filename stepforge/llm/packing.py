@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from stepforge.llm import tokenization
-from stepforge.llm.storage import bounded_batches, bounded_broadcast, map_frames, materialize, whole
+from stepforge.llm.storage import bounded_batches, bounded_broadcast, bounded_reads, map_frames, materialize, whole
 
 MAX_LEN = 2048
 END_ID = 1
@@ -138,7 +138,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, end_id
                 yield frame()
 
     schema = "doc_id long, start long, length long, doc_tokens long, ids binary, part int, nth long"
-    return map_frames(bounded_batches(docs).select("doc_id", "text"), cut, schema)
+    return map_frames(bounded_batches(bounded_reads(docs)).select("doc_id", "text"), cut, schema)
 
 
 def pack(pieces: DataFrame, max_len: int = MAX_LEN) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from stepforge.llm import minhash_dedup
+from stepforge.llm import language_id, line_dedup, minhash_dedup, packing
 
 
 @pytest.fixture(scope="module")
@@ -90,3 +90,13 @@ def test_near_dedup_shuffles_no_texts_to_find_those_that_are_left(spark, sf_dir,
     assert {r[0] for r in came.collect()} == {r[0] for r in docs.collect()}
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
     assert kept == set(range(120))
+
+
+def test_every_stage_reads_few_rows_at_once(spark, sf_dir):
+    """4,096 texts in one array fill a heap, whichever stage reads them."""
+    bound = "spark.sql.parquet.columnarReaderBatchSize"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for stage in (line_dedup.dedup_lines, language_id.training_sample, lambda d: packing.pack_documents(d, corpus_pipeline.tokenizer_path()), minhash_dedup.near_duplicates):
+        spark.conf.unset(bound)
+        stage(docs.limit(5))
+        assert spark.conf.get(bound) == "256"
